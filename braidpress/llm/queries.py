@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, rules, token_counts, urls
+from . import bpe, chat, minhash, rules, token_counts, urls
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -49,6 +49,10 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 OP6_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
@@ -66,6 +70,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op4_chat": op4_chat,
+    "op5_minhash": op5_minhash,
     "op6_url_rules": op6_url_rules,
     "op9_quality_rules": op9_quality_rules,
     "op7_token_counts": op7_token_counts,
