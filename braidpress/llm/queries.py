@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, minhash, rules, token_counts, urls
+from . import bpe, chat, minhash, rules, suffix_dedup, token_counts, urls
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -32,6 +32,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.with_limit(token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary()))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     probe = "'<|im_end|><|im_start|>assistant ok'"
@@ -69,6 +74,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_chat": op4_chat,
     "op5_minhash": op5_minhash,
     "op6_url_rules": op6_url_rules,
