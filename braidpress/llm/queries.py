@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, minhash, rules, suffix_dedup, token_counts, urls
+from . import bpe, chat, decontam, minhash, rules, suffix_dedup, token_counts, urls
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -72,6 +72,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("class_distance", "common_distance")
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op3_suffix_dedup": op3_suffix_dedup,
@@ -79,6 +83,7 @@ QUERIES = {
     "op5_minhash": op5_minhash,
     "op6_url_rules": op6_url_rules,
     "op9_quality_rules": op9_quality_rules,
+    "op10_decontamination": op10_decontamination,
     "op7_token_counts": op7_token_counts,
 }
 
