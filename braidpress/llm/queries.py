@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, minhash, rules, suffix_dedup, token_counts, urls
+from . import bpe, chat, decontam, minhash, quality, rules, suffix_dedup, token_counts, toxicity, urls
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -32,6 +32,16 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.with_limit(token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary()))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -78,10 +88,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_quality": op2_quality,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_chat": op4_chat,
     "op5_minhash": op5_minhash,
     "op6_url_rules": op6_url_rules,
+    "op8_toxicity": op8_toxicity,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontamination": op10_decontamination,
     "op7_token_counts": op7_token_counts,
