@@ -34,7 +34,7 @@ from .quality import remainder
 #: Bound of the labelled sample, of the stems kept, and the number of voters the stems are dealt to.
 TRAIN_ROWS, STEMS, STEM_VOTERS = 20_000, 512, 8
 #: A stem is kept when it stands in this many toxic documents, this much more often than in others.
-STEM_DOCS, STEM_RATIO = 4, 40.0
+STEM_DOCS, STEM_RATIO = 4, 200.0
 PREFIXES = (4, 5, 6)
 #: Plain insults.
 LEXICON = ("idiot", "moron", "stupid", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "clown", "dumb", "imbecile", "bastard", "filthy")
