@@ -142,13 +142,18 @@ def remainder(key: Column, modulus: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % modulus
 
 
+def learn(rows: DataFrame, labels: DataFrame, key: str, label: str, folds: int, held: int) -> Model:
+    """Model of the statistics of the labelled rows outside the held-out fold."""
+    known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).where(F.col("label").isNotNull() & (remainder(F.col("key"), folds) != held))
+    return fit(rows.join(known, "key").select("x", "label"))
+
+
 def classify(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", folds: int = 5, held: int = 0) -> DataFrame:
     """key, ``held_out`` and ``score`` of every row; rows of remainder ``held`` give no label to the fit."""
     ship_package(df.sparkSession)
     kind = dict(df.dtypes)[key]
     rows = materialize(features(df, key, text), "quality")
-    known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).where(F.col("label").isNotNull() & (remainder(F.col("key"), folds) != held))
-    model = fit(rows.join(known, "key").select("x", "label"))
+    model = learn(rows, labels, key, label, folds, held)
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,3 +163,21 @@ def classify(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
 
     out = rows.select("key", "x").mapInArrow(run, f"key {kind}, score double")
     return out.select(F.col("key").alias(key), F.coalesce(remainder(F.col("key"), folds) == held, F.lit(False)).alias("held_out"), "score")
+
+
+def keep_good(df: DataFrame, labels: DataFrame, threshold: float = 0.3, key: str = "doc_id", text: str = "text", label: str = "quality", folds: int = 5, held: int = 0) -> DataFrame:
+    """The rows of ``df`` with a score of ``threshold`` or more, all columns as they are; nothing is shuffled by row."""
+    ship_package(df.sparkSession)
+    model = learn(features(df, key, text), labels, key, label, folds, held)
+    sent = df.sparkSession.sparkContext.broadcast(model)
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            body = b.column(at)
+            for s in byte_slices(np.asarray(pc.binary_length(body.fill_null("")))):
+                good = sent.value.score(statistics(body[s.start : s.stop])) >= threshold
+                if good.any():
+                    yield b.slice(s.start, s.stop - s.start).filter(pa.array(good))
+
+    return df.mapInArrow(run, df.schema)

@@ -29,6 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.session import discard, materialize, ship_package
 from .bpe import byte_slices
@@ -295,8 +296,8 @@ def _ranges(cuts: list[list[tuple[int, int]]]) -> pa.Array:
     return pa.array([[{"a": a, "b": b} for a, b in c] for c in cuts], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
 
 
-def repeated_ranges(df: DataFrame, key: str = "doc_id", text: str = "text", blocks_per_gb: int = 128) -> DataFrame:
-    """rid, and ``spans``: sorted, disjoint byte ranges that repeated windows cover, for texts that have any."""
+def repeated_ranges(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """rid, and ``runs``: sorted byte ranges [a, b) that repeated windows cover, for texts that have any."""
     spark = df.sparkSession
     ship_package(spark)
     rows = _rows(df, key, text)
@@ -373,7 +374,10 @@ def repeated_ranges(df: DataFrame, key: str = "doc_id", text: str = "text", bloc
     )
     runs = hot.select("rid", "at", "bucket", "content").join(decided, ["bucket", "content"]).select("rid", F.explode("ranges").alias("r"), "at")
     runs = runs.select("rid", F.struct((F.col("at") + F.col("r.a")).alias("a"), (F.col("at") + F.col("r.b") - 1 + LENGTH).alias("b")).alias("run"))
-    return runs.groupBy("rid").agg(F.sort_array(F.collect_set("run")).alias("runs"))
+    out = materialize(runs.groupBy("rid").agg(F.sort_array(F.collect_set("run")).alias("runs")), "runs")
+    discard(hot)
+    discard(kinds)
+    return out
 
 
 def _rows(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -382,11 +386,16 @@ def _rows(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.xxhash64(F.col(key).cast("string"), body).alias("rid"), body.alias("body"))
 
 
-def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """key, ``kept`` (remaining bytes), ``n_bytes``, ``n_removed``, ``n_spans`` and the ``keep`` columns of every row."""
-    runs = materialize(repeated_ranges(df, key, text), "runs")
+def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, ``kept`` (remaining bytes), ``n_bytes``, ``n_removed`` and ``n_spans`` of every row."""
+    return _stripped(df, key, text, ()).withColumnRenamed("key", key)
+
+
+def _stripped(df: DataFrame, key: str, text: str, keep: tuple) -> DataFrame:
+    """key, the ``keep`` columns as keep_0, keep_1 and so on, and what is left of each text."""
+    runs = repeated_ranges(df, key, text)
     body = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
-    named = [F.col(c).alias(f"keep_{k}") for k, c in enumerate(keep)]
+    named = [c.alias(f"keep_{k}") for k, c in enumerate(keep)]
     rows = df.select(F.col(key).alias("key"), *named, F.xxhash64(F.col(key).cast("string"), body).alias("rid"), body.alias("body"))
     joined = rows.join(runs, "rid", "left").drop("rid")
 
@@ -411,8 +420,26 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", keep:
             yield pa.RecordBatch.from_arrays([*first, pa.array(kept, pa.binary()), pc.binary_length(bodies).cast(pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())], names)
 
     fields = [*joined.schema.fields[: 1 + len(keep)]]
-    from pyspark.sql import types as T
-
     fields += [T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType())]
-    out = joined.mapInArrow(strip, T.StructType(fields))
-    return out.select(F.col("key").alias(key), *[F.col(f"keep_{k}").alias(c) for k, c in enumerate(keep)], "kept", "n_bytes", "n_removed", "n_spans")
+    return joined.mapInArrow(strip, T.StructType(fields))
+
+
+def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: str | None = None) -> DataFrame:
+    """``df`` with every repeated string taken out of ``text``; ``length`` names a column of character counts to renew.
+
+    A character that a cut parts in the middle goes with it.
+    """
+    others = [c for c in df.columns if c not in (key, text)]
+    done = _stripped(df, key, text, (F.col(text).isNull(), *[F.col(c) for c in others]))
+    # bytes that no longer form a character are dropped with the cut; null stays null
+    body = F.when(F.col("n_removed") > 0, whole_characters(F.col("kept"))).when(~F.col("keep_0"), F.col("kept").cast("string"))
+    kinds = dict(df.dtypes)
+    found = {key: F.col("key"), text: body, **{c: F.col(f"keep_{k}") for k, c in enumerate(others, 1)}}
+    if length:
+        found[length] = F.when(F.col("n_removed") > 0, F.length(body).cast(kinds[length])).otherwise(found[length])
+    return done.select(*[found[c].alias(c) for c in df.columns])
+
+
+def whole_characters(raw):
+    """Text of bytes without those that are no whole UTF-8 character."""
+    return F.replace(F.decode(raw, "UTF-8"), F.lit("\ufffd"), F.lit(""))
