@@ -36,6 +36,9 @@ BINS, BAND_ROWS = 128, 4
 #: Sets up to this size also get prefix-filter keys: two sets at 0.75 of which one has at most 32 shingles.
 SMALL = 43
 PERCENT = 75
+#: Members outside a bucket's least component up to which they are paired at once; parts of a bucket by
+#: further bands in one round, and rounds.
+OUTSIDE, PARTS, SPLITS = 8, 8, 3
 _BIN_SHIFT = U(64 - 7)
 
 
@@ -165,20 +168,52 @@ def components(edges: DataFrame, label: str = "cc") -> DataFrame:
         state = tuple(found)
 
 
+def near_sizes(x, y):
+    """Sizes that allow the similarity at all."""
+    return 100 * F.least(x, y) >= PERCENT * F.greatest(x, y)
+
+
+def apart(placed: DataFrame, keys: DataFrame) -> DataFrame:
+    """Pairs (a, b) of bucket mates in different components, from (key, node, n, comp).
+
+    Where few members stand outside a bucket's least component, each is paired with the members of other
+    components, so pairs grow with the members. A bucket with many such members is parted first by further
+    bands of its members: texts at the similarity share about ten of the bands and so meet again in a part, while
+    texts that share one passage do not. After SPLITS rounds the parts agree in so many bins that those
+    which are still apart are few.
+    """
+    found = None
+    for depth in range(SPLITS + 1):
+        mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("members")).where("low != high").select("key", "low")
+        rows = placed.join(mixed, "key")
+        outside = rows.groupBy("key").agg(F.sum((F.col("comp") != F.col("low")).cast("int")).alias("outside"))
+        rows = materialize(rows.join(outside, "key"), f"apart{depth}")
+        few = rows if depth == SPLITS else rows.where(F.col("outside") <= OUTSIDE)
+        one = few.where("comp != low").select("key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
+        other = few.select("key", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"))
+        pairs = one.join(other, "key").where((F.col("cx") > F.col("cy")) & near_sizes(F.col("nx"), F.col("ny"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        pairs = materialize(pairs, f"cross{depth}")
+        found = pairs if found is None else found.union(pairs)
+        many = rows.where(F.col("outside") > OUTSIDE)
+        if depth == SPLITS or not many.take(1):
+            return found.distinct()
+        start = F.pmod("key", F.lit(BINS // BAND_ROWS)).cast("int") + depth * PARTS
+        band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda k: F.get("keys", ((start + k) % (BINS // BAND_ROWS)).cast("int"))))
+        placed = many.join(keys, "node").select("key", "node", "n", "comp", band.alias("part")).select(F.xxhash64("key", "part").alias("key"), "node", "n", "comp").distinct()
+    raise AssertionError
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, ``n_shingles``, ``component_id`` and ``kept`` for every row."""
     spark = df.sparkSession
     ship_package(spark)
     rows = materialize(sketches(df, key, text), "sketch")
     sets = rows.where("digest IS NOT NULL AND node IS NOT NULL")
-    reps = sets.groupBy("digest").agg(F.min("node").alias("node"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
+    reps = materialize(sets.groupBy("digest").agg(F.min("node").alias("node"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")), "reps")
     keyed = reps.select("node", "n", "digest", F.explode("keys").alias("key"))
     hubs = keyed.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"), F.min(F.struct(F.xxhash64("node", "key").alias("draw"), "node", "n")).alias("second"), F.count("*").alias("members")).where("members > 1")
     mates = materialize(keyed.join(hubs, "key").select("key", "node", "n", "digest", "hub", F.struct("second.node", "second.n").alias("second")), "mates")
 
-    def near_sizes(x, y):
-        return 100 * F.least(x, y) >= PERCENT * F.greatest(x, y)
-
     stars = (
         mates.select("node", "n", F.explode(F.array("hub", "second")).alias("h"))
         .where((F.col("node") != F.col("h.node")) & near_sizes(F.col("n"), F.col("h.n")))
@@ -190,18 +225,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     links = materialize(confirmed(stars, hashed), "links")
     comps = components(links)
 
-    # bucket mates that the stars left apart
     placed = mates.select("key", "node", "n").join(comps, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("key", "low")
-    apart = materialize(placed.join(mixed, "key"), "apart")
-    one = apart.where("comp != low").select("key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
-    other = apart.select("key", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"))
-    cross = one.join(other, "key").where((F.col("cx") > F.col("cy")) & near_sizes(F.col("nx"), F.col("ny")))
-    cross = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = materialize(confirmed(materialize(cross, "cross"), hashed), "more")
+    more = materialize(confirmed(apart(placed, reps.select("node", "keys")).join(stars, ["a", "b"], "left_anti"), hashed), "more")
     if more.take(1):
-        bridged = links.union(more)
-        comps = components(bridged, "cc2")
+        comps = components(links.union(more), "cc2")
 
     class_of = reps.select("digest", F.col("node").alias("rep")).join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("cls"))
     joined = rows.select("node", "n_shingles", "digest").join(class_of, "digest", "left")
@@ -213,9 +240,15 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
         named = joined.join(merged.withColumnRenamed("component", "final"), "node", "left").select("node", "n_shingles", F.coalesce("final", "node").alias("cls"))
     else:
         named = joined.select("node", "n_shingles", F.coalesce("cls", "node").alias("cls"))
-    return named.select(
-        F.col("node").alias(key),
-        "n_shingles",
-        F.when(F.col("node").isNotNull(), F.col("cls")).alias("component_id"),
-        F.coalesce(F.col("node") == F.col("cls"), F.lit(True)).alias("kept"),
+    out = materialize(
+        named.select(
+            F.col("node").alias(key),
+            "n_shingles",
+            F.when(F.col("node").isNotNull(), F.col("cls")).alias("component_id"),
+            F.coalesce(F.col("node") == F.col("cls"), F.lit(True)).alias("kept"),
+        ),
+        "classes",
     )
+    for t in (rows, reps, mates, stars, hashed, links, more):
+        discard(t)
+    return out
