@@ -36,9 +36,8 @@ BINS, BAND_ROWS = 128, 4
 #: Sets up to this size also get prefix-filter keys: two sets at 0.75 of which one has at most 32 shingles.
 SMALL = 43
 PERCENT = 75
-#: Members outside a bucket's least component up to which they are paired at once; parts of a bucket by
-#: further bands in one round, and rounds.
-OUTSIDE, PARTS, SPLITS = 8, 8, 3
+#: Members up to which a bucket's pairs are compared at once; chains of further bands, and bands in a chain.
+MATES, CHAINS, SPLITS = 32, 4, 5
 _BIN_SHIFT = U(64 - 7)
 
 
@@ -176,30 +175,31 @@ def near_sizes(x, y):
 def apart(placed: DataFrame, keys: DataFrame) -> DataFrame:
     """Pairs (a, b) of bucket mates in different components, from (key, node, n, comp).
 
-    Where few members stand outside a bucket's least component, each is paired with the members of other
-    components, so pairs grow with the members. A bucket with many such members is parted first by further
-    bands of its members: texts at the similarity share about ten of the bands and so meet again in a part, while
-    texts that share one passage do not. After SPLITS rounds the parts agree in so many bins that those
-    which are still apart are few.
+    A bucket of at most MATES members gives all its pairs across components, so pairs grow with the members. A
+    larger one, such as of many texts that share one passage, is parted by a further band of its members, in
+    CHAINS independent chains: texts at the similarity share about ten of the bands and meet again in the
+    parts of several chains, while others fall apart. What is still large after SPLITS bands gives a star.
     """
+    bands = BINS // BAND_ROWS
     found = None
     for depth in range(SPLITS + 1):
-        mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("members")).where("low != high").select("key", "low")
-        rows = placed.join(mixed, "key")
-        outside = rows.groupBy("key").agg(F.sum((F.col("comp") != F.col("low")).cast("int")).alias("outside"))
-        rows = materialize(rows.join(outside, "key"), f"apart{depth}")
-        few = rows if depth == SPLITS else rows.where(F.col("outside") <= OUTSIDE)
-        one = few.where("comp != low").select("key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
+        mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("members"), F.min(F.struct("node", "n", "comp")).alias("hub")).where("low != high").select("key", "members", "hub")
+        rows = materialize(placed.join(mixed, "key"), f"apart{depth}")
+        few = rows.where(F.col("members") <= MATES)
+        one = few.select("key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
         other = few.select("key", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"))
-        pairs = one.join(other, "key").where((F.col("cx") > F.col("cy")) & near_sizes(F.col("nx"), F.col("ny"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        pairs = materialize(pairs, f"cross{depth}")
+        across = one.join(other, "key").where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & near_sizes(F.col("nx"), F.col("ny"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
+        many = rows.where(F.col("members") > MATES)
+        if depth == SPLITS:
+            star = many.where((F.col("comp") != F.col("hub.comp")) & near_sizes(F.col("n"), F.col("hub.n"))).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
+            across = across.union(star)
+        pairs = materialize(across.distinct(), f"across{depth}")
         found = pairs if found is None else found.union(pairs)
-        many = rows.where(F.col("outside") > OUTSIDE)
         if depth == SPLITS or not many.take(1):
             return found.distinct()
-        start = F.pmod("key", F.lit(BINS // BAND_ROWS)).cast("int") + depth * PARTS
-        band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda k: F.get("keys", ((start + k) % (BINS // BAND_ROWS)).cast("int"))))
-        placed = many.join(keys, "node").select("key", "node", "n", "comp", band.alias("part")).select(F.xxhash64("key", "part").alias("key"), "node", "n", "comp").distinct()
+        chains = F.explode(F.transform(F.sequence(F.lit(0), F.lit(CHAINS - 1 if depth == 0 else 0)), lambda c: F.struct(c.alias("c"), F.pmod(F.xxhash64("key", c, F.lit(depth)), F.lit(bands)).cast("int").alias("band"))))
+        chained = many.select("key", "node", "n", "comp", chains.alias("chain")).join(keys, "node")
+        placed = chained.select(F.xxhash64("key", "chain.c", F.get("keys", F.col("chain.band"))).alias("key"), "node", "n", "comp")
     raise AssertionError
 
 

@@ -45,8 +45,8 @@ CHUNK = 1 << 18
 COVER = 57
 MEMBERS = (0, 1, 3, 13, 32, 36, 43, 52)
 #: Suffixes sorted at once inside a block, and bytes of a block.
-BUCKET = 1 << 18
-BLOCK_BYTES = 8 << 20
+BUCKET = 1 << 17
+BLOCK_BYTES = 2 << 20
 
 
 # --- scanning: windows to buckets -------------------------------------------------------------------
@@ -391,8 +391,9 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return _stripped(df, key, text, ()).withColumnRenamed("key", key)
 
 
-def _stripped(df: DataFrame, key: str, text: str, keep: tuple) -> DataFrame:
-    """key, the ``keep`` columns as keep_0, keep_1 and so on, and what is left of each text."""
+def _stripped(df: DataFrame, key: str, text: str, keep: tuple, as_text: bool = False) -> DataFrame:
+    """key, the ``keep`` columns as keep_0, keep_1 and so on, and what is left of each text: bytes, or with
+    ``as_text`` the whole characters among them."""
     runs = repeated_ranges(df, key, text)
     body = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
     named = [c.alias(f"keep_{k}") for k, c in enumerate(keep)]
@@ -417,10 +418,10 @@ def _stripped(df: DataFrame, key: str, text: str, keep: tuple) -> DataFrame:
                 removed.append(len(data) - len(kept[-1]))
                 spans.append(n)
             first = [b.column(k) for k in range(at)]
-            yield pa.RecordBatch.from_arrays([*first, pa.array(kept, pa.binary()), pc.binary_length(bodies).cast(pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([*first, pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary()), pc.binary_length(bodies).cast(pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())], names)
 
     fields = [*joined.schema.fields[: 1 + len(keep)]]
-    fields += [T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType())]
+    fields += [T.StructField("kept", T.StringType() if as_text else T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType())]
     return joined.mapInArrow(strip, T.StructType(fields))
 
 
@@ -430,16 +431,11 @@ def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", leng
     A character that a cut parts in the middle goes with it.
     """
     others = [c for c in df.columns if c not in (key, text)]
-    done = _stripped(df, key, text, (F.col(text).isNull(), *[F.col(c) for c in others]))
+    done = _stripped(df, key, text, (F.col(text).isNull(), *[F.col(c) for c in others]), as_text=True)
     # bytes that no longer form a character are dropped with the cut; null stays null
-    body = F.when(F.col("n_removed") > 0, whole_characters(F.col("kept"))).when(~F.col("keep_0"), F.col("kept").cast("string"))
+    body = F.when(~F.col("keep_0"), F.col("kept"))
     kinds = dict(df.dtypes)
     found = {key: F.col("key"), text: body, **{c: F.col(f"keep_{k}") for k, c in enumerate(others, 1)}}
     if length:
         found[length] = F.when(F.col("n_removed") > 0, F.length(body).cast(kinds[length])).otherwise(found[length])
     return done.select(*[found[c].alias(c) for c in df.columns])
-
-
-def whole_characters(raw):
-    """Text of bytes without those that are no whole UTF-8 character."""
-    return F.replace(F.decode(raw, "UTF-8"), F.lit("\ufffd"), F.lit(""))
