@@ -49,6 +49,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Deal rows by columns over a fixed number of partitions, ahead of a step that costs much for each row.
+
+    A stated number keeps adaptive execution from merging partitions that are small in bytes but not in work.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *columns)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by :func:`materialize` that nothing lazily reads any more."""
     path = getattr(df, "_braidpress_path", None)
