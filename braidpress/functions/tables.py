@@ -31,7 +31,7 @@ def rope_table(spark: SparkSession, positions: int = 64) -> DataFrame:
     angle = F.col("pos") / F.pow(F.lit(10000.0), F.col("i") * 2.0 / (2 * HALF_DIM))
 
     def fixed(x: Column) -> Column:
-        return clamp(F.rint(x * 32768).cast("bigint"), -32767, 32767)
+        return clamp(F.rint(x * 32768).cast("bigint"), -32768, 32767)
 
     grid = spark.range(positions * HALF_DIM).select(pos.alias("pos"), i.alias("i"))
     return grid.select("pos", "i", fixed(F.cos(angle)).alias("cos"), fixed(F.sin(angle)).alias("sin"))
@@ -46,7 +46,7 @@ def exp2_values() -> np.ndarray:
 def rope_values(positions: int) -> tuple[np.ndarray, np.ndarray]:
     """cos and sin of shape (positions, 32)."""
     angle = np.arange(positions)[:, None] / np.power(10000.0, np.arange(HALF_DIM) * 2.0 / (2 * HALF_DIM))
-    return tuple(np.clip(np.rint(f(angle) * 32768), -32767, 32767).astype(np.int64) for f in (np.cos, np.sin))
+    return tuple(np.clip(np.rint(f(angle) * 32768), -32768, 32767).astype(np.int64) for f in (np.cos, np.sin))
 
 
 def check_exp2(values: np.ndarray) -> np.ndarray:

@@ -158,7 +158,7 @@ def exp2_lut(spark, sf_dir):
 
 @query(
     """WITH g AS (SELECT CAST(pos AS BIGINT) AS pos, CAST(i AS BIGINT) AS i, pos / pow(10000.0, i * 2.0 / 64) AS a FROM range(4096) AS p(pos), range(32) AS q(i))
-    SELECT pos, i, CAST(greatest(-32767, least(32767, round_even(cos(a) * 32768, 0))) AS BIGINT) AS cos, CAST(greatest(-32767, least(32767, round_even(sin(a) * 32768, 0))) AS BIGINT) AS sin FROM g"""
+    SELECT pos, i, CAST(greatest(-32768, least(32767, round_even(cos(a) * 32768, 0))) AS BIGINT) AS cos, CAST(greatest(-32768, least(32767, round_even(sin(a) * 32768, 0))) AS BIGINT) AS sin FROM g"""
 )
 def rope_lut(spark, sf_dir):
     return L.rope_table(spark, 4096)
@@ -426,7 +426,7 @@ def reglu(spark, sf_dir):
     return cells(vectors(spark, sf_dir).select("vec_id", A.reglu(F.slice("x", 1, 32), F.slice("x", 33, 32)).alias("n")), "n")
 
 
-S_ROPE = """rope AS (SELECT pos, i, CAST(greatest(-32767, least(32767, round_even(cos(a) * 32768, 0))) AS BIGINT) AS c, CAST(greatest(-32767, least(32767, round_even(sin(a) * 32768, 0))) AS BIGINT) AS s
+S_ROPE = """rope AS (SELECT pos, i, CAST(greatest(-32768, least(32767, round_even(cos(a) * 32768, 0))) AS BIGINT) AS c, CAST(greatest(-32768, least(32767, round_even(sin(a) * 32768, 0))) AS BIGINT) AS s
     FROM (SELECT pos, i, pos / pow(10000.0, i * 2.0 / 64) AS a FROM range(64) AS p(pos), range(32) AS q(i)))"""
 
 
