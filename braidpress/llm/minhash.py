@@ -197,9 +197,15 @@ def apart(placed: DataFrame, keys: DataFrame) -> DataFrame:
         found = pairs if found is None else found.union(pairs)
         if depth == SPLITS or not many.take(1):
             return found.distinct()
-        chains = F.explode(F.transform(F.sequence(F.lit(0), F.lit(CHAINS - 1 if depth == 0 else 0)), lambda c: F.struct(c.alias("c"), F.pmod(F.xxhash64("key", c, F.lit(depth)), F.lit(bands)).cast("int").alias("band"))))
-        chained = many.select("key", "node", "n", "comp", chains.alias("chain")).join(keys, "node")
-        placed = chained.select(F.xxhash64("key", "chain.c", F.get("keys", F.col("chain.band"))).alias("key"), "node", "n", "comp")
+        # the bucket keys of these members travel with them from here on
+        held = many.select("key", "node", "n", "comp", "keys") if depth else many.select("key", "node", "n", "comp").join(keys, "node")
+
+        def parted(chain: int) -> DataFrame:
+            band = F.pmod(F.xxhash64("key", F.lit(chain), F.lit(depth)), F.lit(bands)).cast("int")  # noqa: B023
+            return held.select(F.xxhash64("key", F.lit(chain), F.get("keys", band)).alias("key"), "node", "n", "comp", "keys")  # noqa: B023
+
+        parts = [parted(c) for c in range(CHAINS if depth == 0 else 1)]
+        placed = functools.reduce(DataFrame.union, parts)
     raise AssertionError
 
 
