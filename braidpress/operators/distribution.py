@@ -75,11 +75,17 @@ def cumulative_values(logits: np.ndarray, coef: int = SOFTMAX_COEF, total: int |
     return np.cumsum(freq, axis=1)
 
 
-def softmax_cumulative(df: DataFrame, row: str = "row_id", token: str = "token", logit: str = "logit", scale: float = 1.0, total: int = 1 << 16) -> DataFrame:
-    """The plain floating-point variant: row, token and ``cum`` that starts at 0; not bit-exact across machines."""
+def softmax_cumulative(df: DataFrame, row: str = "row_id", token: str = "token", logit: str = "logit", scale: float = 1.0) -> DataFrame:
+    """The plain floating-point variant: row, token, ``freq`` and ``cum``, the sum before the token (0 at first).
+
+    Not exact across machines: exponentials and their sums may differ in the last bit.
+    """
     by = Window.partitionBy(row)
     x = df.select(row, token, (F.col(logit) * scale).cast("double").alias("z"))
-    x = x.withColumn("e", F.exp(F.col("z") - F.max("z").over(by)))
-    x = x.withColumn("freq", F.greatest(F.lit(1).cast("bigint"), F.floor(F.col("e") / F.sum("e").over(by) * total).cast("bigint")))
+    x = x.withColumn("e", F.exp(F.col("z") - F.max("z").over(by))).withColumn("n", F.count("*").over(by))
+    x = x.withColumn("total", F.greatest(F.lit((1 << 30) - 1024).cast("bigint") - F.col("n"), F.col("n") + 1))
+    x = x.withColumn("base", F.greatest(F.lit(1).cast("bigint"), F.rint(F.col("e") / F.sum("e").over(by) * F.col("total")).cast("bigint")))
+    place = F.row_number().over(Window.partitionBy(row).orderBy(F.desc("base"), token))
+    x = x.withColumn("place", place).withColumn("freq", F.col("base") + F.when(F.col("place") == 1, F.col("total") - F.sum("base").over(by)).otherwise(F.lit(0)))
     run = Window.partitionBy(row).orderBy(token).rowsBetween(Window.unboundedPreceding, -1)
-    return x.select(row, token, F.coalesce(F.sum("freq").over(run), F.lit(0).cast("bigint")).alias("cum"), "freq")
+    return x.select(row, token, "freq", F.coalesce(F.sum("freq").over(run), F.lit(0).cast("bigint")).alias("cum"))

@@ -351,9 +351,15 @@ def logits_cdf_array(spark, sf_dir):
     return both.select("row_id", F.posexplode("c").alias("at", "cum"), "a").select("row_id", F.get("a", F.col("at"))["token"].alias("token"), "cum")
 
 
-@query()
+@query(
+    f"""WITH x AS (SELECT l_orderkey AS row_id, l_linenumber * CAST(1000000000 AS BIGINT) + {PRICE} AS token, CAST(({PRICE}) * 1e-6 AS DOUBLE) AS z FROM lineitem),
+    e AS (SELECT row_id, token, exp(z - max(z) OVER (PARTITION BY row_id)) AS e, 1073741824 - 1024 - count(*) OVER (PARTITION BY row_id) AS total FROM x),
+    b AS (SELECT *, greatest(1, CAST(round_even(e / sum(e) OVER (PARTITION BY row_id) * total, 0) AS BIGINT)) AS base FROM e),
+    f AS (SELECT row_id, token, CAST(base + CASE WHEN row_number() OVER (PARTITION BY row_id ORDER BY base DESC, token) = 1 THEN total - sum(base) OVER (PARTITION BY row_id) ELSE 0 END AS BIGINT) AS freq FROM b)
+    SELECT row_id, token, freq, CAST(sum(freq) OVER (PARTITION BY row_id ORDER BY token) - freq AS BIGINT) AS cum FROM f"""
+)
 def softmax_float(spark, sf_dir):
-    """The floating-point variant, which is not bit-exact across engines."""
+    """The floating-point variant."""
     x = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("row_id"), (F.col("l_linenumber").cast("bigint") * 1000000000 + cents()).alias("token"), cents().alias("logit"))
     return distribution.softmax_cumulative(x, scale=1e-6)
 

@@ -8,6 +8,8 @@ store; the registered formats list local or mounted paths.
 
 from __future__ import annotations
 
+import glob
+import os
 from collections.abc import Iterator
 
 import pandas as pd
@@ -64,16 +66,15 @@ def tensor_cells(tensors: DataFrame) -> DataFrame:
     return whole.select("path", "name", F.posexplode(run("data", "dtype")).alias("i", "value"))
 
 
-def write_containers(df: DataFrame, folder: str, key: str = "doc_id", container: str = "container") -> None:
-    """One file per row, ``KEY.czip``, written by the executors through Hadoop's file systems where the path has a scheme Spark knows.
+def write_files(df: DataFrame, folder: str, key: str, column: str, suffix: str) -> None:
+    """One file per row, KEY.SUFFIX, holding the row's bytes (or text as UTF-8), written by the executors.
 
-    Rows are written once; a task that runs again overwrites its own files with the same bytes.
+    The folder must be one that all executors share. A task that runs again writes the same bytes anew and puts
+    them in place at once. A folder in another store gets a Parquet table instead of files.
     """
-    import os
-
     local = folder.removeprefix("file://")
     if "://" in local:
-        df.select(F.col(key), F.col(container)).write.mode("overwrite").parquet(folder)
+        df.select(F.col(key), F.col(column)).write.mode("overwrite").parquet(folder)
         return
 
     def put(rows) -> None:
@@ -81,10 +82,18 @@ def write_containers(df: DataFrame, folder: str, key: str = "doc_id", container:
         for r in rows:
             part = os.path.join(local, f".{r[0]}.{os.getpid()}")
             with open(part, "wb") as f:
-                f.write(bytes(r[1]))
-            os.replace(part, os.path.join(local, f"{r[0]}.czip"))
+                f.write(r[1].encode() if isinstance(r[1], str) else bytes(r[1] or b""))
+            os.replace(part, os.path.join(local, f"{r[0]}.{suffix}"))
+
+    df.select(F.col(key), F.col(column)).foreachPartition(put)
+
+
+def write_containers(df: DataFrame, folder: str, key: str = "doc_id", container: str = "container") -> None:
+    write_files(df, folder, key, container, "czip")
 
-    df.select(F.col(key), F.col(container)).foreachPartition(put)
+
+def write_texts(df: DataFrame, folder: str, key: str = "doc_id", text: str = "text") -> None:
+    write_files(df, folder, key, text, "txt")
 
 
 class _File(InputPartition):
@@ -93,9 +102,6 @@ class _File(InputPartition):
 
 
 def _files(path: str) -> list[_File]:
-    import glob
-    import os
-
     path = path.removeprefix("file://")
     found = sorted(glob.glob(os.path.join(path, "*")) if os.path.isdir(path) else glob.glob(path))
     return [_File(f) for f in found if os.path.isfile(f) and not os.path.basename(f).startswith((".", "_"))]

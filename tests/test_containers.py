@@ -95,7 +95,10 @@ def test_files_and_sources(spark, tmp_path):
     assert t.count() == formats.read_tensors(spark, str(tmp_path / "m")).count() == 28
     cells = formats.tensor_cells(formats.read_tensors(spark, str(tmp_path / "m")).where("name = 'lut.exp2'"))
     assert cells.agg(F.sum("value")).first()[0] == 12118595
-    assert formats.read_texts(spark, str(tmp_path / "a.txt")).first().text == text
+    read = formats.read_texts(spark, str(tmp_path / "a.txt"))
+    assert read.first().text == text
+    formats.write_texts(read.withColumn("doc_id", F.lit(3)), str(tmp_path / "t"))
+    assert (tmp_path / "t" / "3.txt").read_bytes() == text.encode()
     boxes = spark.createDataFrame([(7, sample().to_bytes())], "doc_id long, container binary")
     formats.write_containers(boxes, str(tmp_path / "w"))
     assert box.Container.from_bytes((tmp_path / "w" / "7.czip").read_bytes()) == sample()

@@ -103,3 +103,19 @@ def test_levels():
     for bad in (32, 100, 8192, 0):
         with pytest.raises(ValueError):
             to_log2(bad)
+
+
+@pytest.mark.parametrize("with_sink", [False, True])
+def test_fold_column_equals_kernel(spark, with_sink):
+    from pyspark.sql import functions as F
+
+    from braidpress.functions.arrays import attention_score, dot
+    from braidpress.operators.attention import fold
+
+    r = np.random.default_rng(4)
+    q, k, v, sink = r.integers(-127, 128, 64), r.integers(-127, 128, (9, 64)), r.integers(-127, 128, (9, 64)), r.integers(-127, 128, 64)
+    df = spark.createDataFrame([(t, q.tolist(), k[t].tolist(), v[t].tolist(), sink.tolist()) for t in range(9)], "t int, q array<bigint>, k array<bigint>, v array<bigint>, sink array<bigint>")
+    rows = df.withColumn("score", attention_score(dot(F.col("q"), F.col("k")), 90000)).groupBy("q", "sink").agg(F.collect_list(F.struct("t", "score", "v")).alias("steps"))
+    own = attention_score(dot(F.col("q"), F.col("sink")), 90000) if with_sink else None
+    got = rows.select(fold(F.col("steps"), own).alias("y")).first().y
+    assert got == kernels.attend(q[None, None, None], k[None], v[None], np.array([90000]), 8, sink if with_sink else None)[0, 0, 0].tolist()
