@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,6 +45,10 @@ CHUNK = 1 << 18
 #: A difference cover modulo 57: each residue is the difference of two members (fixed value).
 COVER = 57
 MEMBERS = (0, 1, 3, 13, 32, 36, 43, 52)
+#: Different segments of a bucket beyond which it is parted by finer names, and the width of their pieces.
+CROWD, NARROW = 4096, 16
+#: Bytes of texts that look up their segments together.
+GROUP_BYTES = 1 << 20
 #: Suffixes sorted at once inside a block, and bytes of a block.
 BUCKET = 1 << 17
 BLOCK_BYTES = 2 << 20
@@ -78,11 +83,11 @@ class Hasher:
 
 
 def segments(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
-    """row, first window, windows, bucket and content hash of each segment of a buffer of several texts.
+    """row, first window, windows, bucket, content hash and distance to the k-mer of each segment of a buffer.
 
     The buffer is at most CHUNK + LENGTH bytes, so positions fit the low bits of the hashes that are compared.
     """
-    empty = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U, U))
+    empty = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U, U, np.int64))
     if len(data) < LENGTH:
         return empty
     h = Hasher(data)
@@ -107,7 +112,7 @@ def segments(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     high = np.where(f == 1, p - (SPAN - 1), p - (HALF - 1)) + LENGTH
     bucket = mix(h(low, high) + (f.astype(U) + U(1)) * U(BASE))
     content = h(at, at + count + LENGTH - 1) + count.astype(U) * U(0x8CB92BA72F3D8DD7)
-    return row[first], at, count, bucket, mix(content + (p - at).astype(U))
+    return row[first], at, count, bucket, mix(content + (p - at).astype(U)), p - at
 
 
 def scan(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
@@ -120,9 +125,9 @@ def scan(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]
             b = min(a + CHUNK + LENGTH - 1, int(size)) if size > CHUNK else int(size)
             base = int(offs[k]) + a
             local = np.clip(offs[k : stop + 1] - base, 0, b - a)
-            row, at, count, bucket, content = segments(data[base : base + b - a], local)
+            row, at, count, bucket, content, lead = segments(data[base : base + b - a], local)
             if len(row):
-                yield row + k, at + base - offs[row + k], count, bucket, content
+                yield row + k, at + base - offs[row + k], count, bucket, content, lead
             if size <= CHUNK:
                 break
         k = stop
@@ -296,10 +301,14 @@ def _ranges(cuts: list[list[tuple[int, int]]]) -> pa.Array:
     return pa.array([[{"a": a, "b": b} for a, b in c] for c in cuts], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
 
 
-def repeated_ranges(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """rid, and ``runs``: sorted byte ranges [a, b) that repeated windows cover, for texts that have any."""
-    spark = df.sparkSession
-    ship_package(spark)
+def decisions(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, int]:
+    """group, bucket, content and ``ranges``: the windows of a segment that repeat, for each group of texts that
+    holds the segment; and the number of groups.
+
+    Texts are grouped by a hash, about GROUP_BYTES to a group. A segment is looked up once for a group, however
+    many of its texts hold it, so a passage that every text holds costs a row for each group.
+    """
+    ship_package(df.sparkSession)
     rows = _rows(df, key, text)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,77 +316,137 @@ def repeated_ranges(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
             for s in byte_slices(np.asarray(pc.binary_length(b.column(1)))):
                 rid = np.asarray(b.column(0))[s]
                 data, offs = flat(b.column(1)[s.start : s.stop])
-                for row, at, count, bucket, content in scan(data, offs):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(rid[row]), pa.array(at.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(bucket.view(np.int64)), pa.array(content.view(np.int64))],
-                        ["rid", "at", "n", "bucket", "content"],
-                    )
-
-    segs = materialize(rows.mapInArrow(found, "rid long, at int, n int, bucket long, content long"), "segments")
-    shared = segs.groupBy("bucket").agg(F.count("*").alias("uses")).where("uses > 1").select("bucket")
-    hot = materialize(segs.join(shared, "bucket"), "shared")
+                for row, at, count, bucket, content, lead in scan(data, offs):
+                    small = [pa.array(x.astype(np.int32)) for x in (at, count, lead)]
+                    yield pa.RecordBatch.from_arrays([pa.array(rid[row]), *small, pa.array(bucket.view(np.int64)), pa.array(content.view(np.int64))], ["rid", "at", "n", "lead", "bucket", "content"])
+
+    segs = materialize(rows.mapInArrow(found, "rid long, at int, n int, lead int, bucket long, content long"), "segments")
+    windows = segs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    groups = 1 << max(4, int(windows // GROUP_BYTES).bit_length())
+    held = materialize(segs.groupBy(F.pmod("rid", F.lit(groups)).alias("group"), "bucket", "content").agg(F.count("*").alias("uses"), F.min(F.struct("rid", "at", "n", "lead")).alias("rep")), "held")
     discard(segs)
-    kinds = hot.groupBy("bucket", "content").agg(F.count("*").alias("uses"), F.min(F.struct("rid", "at", "n")).alias("rep"))
-    several = kinds.groupBy("bucket").agg(F.count("*").alias("kinds"), F.sum("rep.n").alias("windows"))
-    kinds = materialize(kinds.join(several, "bucket").select("bucket", "content", "uses", "kinds", "rep.*"), "kinds")
+    # tables on both sides of each join on a bucket, so that a hot one can be split where it is joined
+    shared = materialize(held.groupBy("bucket").agg(F.sum("uses").alias("uses")).where("uses > 1").select("bucket"), "names")
+    hot = materialize(held.join(shared, "bucket"), "shared")
+    discard(held)
+    discard(shared)
+    kinds = hot.groupBy("bucket", "content").agg(F.sum("uses").alias("uses"), F.min("rep").alias("rep"))
+    kinds = materialize(kinds.select("bucket", "content", "uses", "rep.*"), "kinds")
+    several = materialize(kinds.groupBy("bucket").agg(F.count("*").alias("kinds")).where("kinds > 1"), "several")
     # only buckets of different segments need sorting
-    open_kinds = kinds.where("kinds > 1")
-    asked = open_kinds.groupBy("rid").agg(F.collect_list(F.struct("at", "n", "bucket", "content")).alias("want"))
+    items = materialize(kinds.join(several, "bucket").withColumn("off", F.lit(0)), "items")
+    results = [_sorted(rows, items.where(F.col("kinds") <= CROWD).withColumn("part", F.col("bucket")))]
+    crowded = items.where(F.col("kinds") > CROWD)
+    spare = [several, items]
+    if crowded.take(1):
+        spare += _narrow(rows, crowded, results)
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n").cast("long").alias("b")))
+    decided = kinds.where("uses > 1").select("bucket", "content", whole.alias("ranges"))
+    for r in results:
+        decided = decided.unionByName(r)
+    decided = materialize(decided.where(F.size("ranges") > 0), "decided")
+    out = materialize(hot.select("group", "bucket", "content").join(decided, ["bucket", "content"]).select("group", "bucket", "content", "ranges"), "decisions")
+    for t in (hot, kinds, decided, *spare):
+        discard(t)
+    return out, groups
+
+
+def _asked(rows: DataFrame, items: DataFrame, *more: str) -> DataFrame:
+    """body, and ``want``: the segments of it that are to be looked at."""
+    return rows.join(items.groupBy("rid").agg(F.collect_list(F.struct("at", "n", "lead", "bucket", "content", "off", *more)).alias("want")), "rid").select("body", "want")
+
+
+def _sorted(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """bucket, content and ``ranges`` of windows that repeat within a part; parts hold at most CROWD segments."""
+    spark = rows.sparkSession
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 data, want = b.column(0)[i].as_py(), b.column(1)[i].as_py()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([w["bucket"] for w in want], pa.int64()),
-                        pa.array([w["content"] for w in want], pa.int64()),
-                        pa.array([w["n"] for w in want], pa.int32()),
-                        pa.array([data[w["at"] : w["at"] + w["n"] + LENGTH - 1] for w in want], pa.binary()),
-                    ],
-                    ["bucket", "content", "n", "bytes"],
-                )
-
-    size = kinds.agg(F.coalesce(F.sum(F.col("n") + F.lit(LENGTH)), F.lit(0))).first()[0]
+                cols = [pa.array([w[c] for w in want], t) for c, t in (("part", pa.int64()), ("bucket", pa.int64()), ("content", pa.int64()), ("off", pa.int32()), ("n", pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([data[w["at"] : w["at"] + w["n"] + LENGTH - 1] for w in want], pa.binary())], ["part", "bucket", "content", "off", "n", "bytes"])
+
+    size = items.agg(F.coalesce(F.sum(F.col("n") + F.lit(LENGTH)), F.lit(0))).first()[0]
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size) // BLOCK_BYTES + 1)
-    texts = rows.join(asked, "rid").select("body", "want").mapInArrow(cut, "bucket long, content long, n int, bytes binary")
-    # equal windows share their bucket, so a block of whole buckets is complete in itself
-    dealt = texts.repartition(blocks, "bucket")
+    texts = _asked(rows, items, "part").mapInArrow(cut, "part long, bucket long, content long, off int, n int, bytes binary")
+    # equal windows share their part, so a block of whole parts is complete in itself
+    dealt = texts.repartition(blocks, "part").sortWithinPartitions("part")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        schema = ["bucket", "content", "ranges"]
+        total = 0
 
         def flush(part: list[tuple]) -> pa.RecordBatch:
-            cuts = block_ranges([p[3] for p in part], np.array([p[2] for p in part]))
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in part], pa.int64()), pa.array([p[1] for p in part], pa.int64()), _ranges(cuts)], schema)
+            cuts = block_ranges([p[5] for p in part], np.array([p[4] for p in part]))
+            cuts = [[(a + p[3], b + p[3]) for a, b in c] for p, c in zip(part, cuts)]
+            return pa.RecordBatch.from_arrays([pa.array([p[1] for p in part], pa.int64()), pa.array([p[2] for p in part], pa.int64()), _ranges(cuts)], ["bucket", "content", "ranges"])
 
-        total = 0
         for b in batches:
             for p in zip(*[c.to_pylist() for c in b.columns]):
-                # sorted by bucket: a block closes between two buckets
+                # a block closes between two parts
                 if held and total >= BLOCK_BYTES and p[0] != held[-1][0]:
                     yield flush(held)
                     held, total = [], 0
                 held.append(p)
-                total += len(p[3])
+                total += len(p[5])
         if held:
             yield flush(held)
 
-    kind = "bucket long, content long, ranges array<struct<a:long,b:long>>"
-    sorted_kinds = dealt.sortWithinPartitions("bucket").mapInArrow(sort, kind)
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n").cast("long").alias("b")))
-    decided = (
-        kinds.join(sorted_kinds, ["bucket", "content"], "left")
-        .select("bucket", "content", F.when(F.col("uses") > 1, whole).otherwise(F.col("ranges")).alias("ranges"))
-        .where(F.size("ranges") > 0)
-    )
-    runs = hot.select("rid", "at", "bucket", "content").join(decided, ["bucket", "content"]).select("rid", F.explode("ranges").alias("r"), "at")
-    runs = runs.select("rid", F.struct((F.col("at") + F.col("r.a")).alias("a"), (F.col("at") + F.col("r.b") - 1 + LENGTH).alias("b")).alias("run"))
-    out = materialize(runs.groupBy("rid").agg(F.sort_array(F.collect_set("run")).alias("runs")), "runs")
-    discard(hot)
-    discard(kinds)
-    return out
+    return dealt.mapInArrow(sort, "bucket long, content long, ranges array<struct<a:long,b:long>>")
+
+
+def pieces(data: bytes, want: dict, width: int) -> Iterator[tuple[int, int, bytes]]:
+    """First window, windows and name of a segment's pieces of ``width`` distances to the k-mer.
+
+    The name is a digest of the bytes that all windows of a piece share, so equal windows still meet.
+    """
+    kmer, first, stop = want["at"] + want["lead"], want["at"], want["at"] + want["n"]
+    while first < stop:
+        number = (kmer - first) // width
+        last = min(kmer - number * width, stop - 1)
+        low = kmer - number * width
+        yield first, last - first + 1, xxhash.xxh3_128_digest(data[low : low - width + 1 + LENGTH], number)
+        first = last + 1
+
+
+def _narrow(rows: DataFrame, crowded: DataFrame, results: list[DataFrame]) -> list[DataFrame]:
+    """Parts buckets of more than CROWD different segments by finer names; adds to results and returns the tables made.
+
+    Segments of a crowded bucket mostly straddle the end of a common passage and differ beyond it: by names of
+    longer shared bytes they part company. What is crowded even so is decided window by window, by digest.
+    """
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                data = b.column(0)[i].as_py()
+                out = [(w["rid"], w["bucket"], w["content"], w["off"] + first - w["at"], first, n, w["lead"] + w["at"] - first, d) for w in b.column(1)[i].as_py() for first, n, d in pieces(data, w, NARROW)]
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["rid", "bucket", "content", "off", "at", "n", "lead", "name"])
+
+    named = materialize(_asked(rows, crowded, "rid").mapInArrow(name, "rid long, bucket long, content long, off int, at int, n int, lead int, name binary"), "named")
+    uses = materialize(named.groupBy("name").agg(F.count("*").alias("uses")).where("uses > 1"), "uses")
+    again = materialize(named.join(uses, "name"), "again")
+    part = F.conv(F.substring(F.hex("name"), 1, 15), 16, 10).cast("long")
+    results.append(_sorted(rows, again.where(F.col("uses") <= CROWD).withColumn("part", part)))
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                data = b.column(0)[i].as_py()
+                out = [(w["bucket"], w["content"], w["off"] + first - w["at"], d) for w in b.column(1)[i].as_py() for first, _, d in pieces(data, w, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["bucket", "content", "off", "name"])
+
+    made = [named, uses, again]
+    most = again.where(F.col("uses") > CROWD)
+    if most.take(1):
+        windows = materialize(_asked(rows, most).mapInArrow(single, "bucket long, content long, off int, name binary"), "windows")
+        twice = materialize(windows.groupBy("name").agg(F.count("*").alias("uses")).where("uses > 1").select("name"), "twice")
+        one = F.array(F.struct(F.col("off").cast("long").alias("a"), (F.col("off") + 1).cast("long").alias("b")))
+        results.append(windows.join(twice, "name").select("bucket", "content", one.alias("ranges")))
+        made += [windows, twice]
+    return made
 
 
 def _rows(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -394,35 +463,76 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 def _stripped(df: DataFrame, key: str, text: str, keep: tuple, as_text: bool = False) -> DataFrame:
     """key, the ``keep`` columns as keep_0, keep_1 and so on, and what is left of each text: bytes, or with
     ``as_text`` the whole characters among them."""
-    runs = repeated_ranges(df, key, text)
+    found, groups = decisions(df, key, text)
     body = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
-    named = [c.alias(f"keep_{k}") for k, c in enumerate(keep)]
-    rows = df.select(F.col(key).alias("key"), *named, F.xxhash64(F.col(key).cast("string"), body).alias("rid"), body.alias("body"))
-    joined = rows.join(runs, "rid", "left").drop("rid")
+    own = df.select(F.col(key).alias("key"), *[c.alias(f"keep_{k}") for k, c in enumerate(keep)], body.alias("body"))
+    rid = F.xxhash64(F.col("key").cast("string"), F.col("body"))
+    own = own.select(F.pmod(rid, F.lit(groups)).alias("group"), F.lit(1).alias("is_text"), "*")
+    # the decisions of a group come before its texts, which then pass one by one
+    both = own.unionByName(found.withColumn("is_text", F.lit(0)), allowMissingColumns=True)
+    both = both.repartition("group").sortWithinPartitions("group", "is_text")
+    fields = [f for f in own.schema.fields if f.name not in ("group", "is_text", "body")]
+    copied = [f.name for f in fields]
+    fields = fields + [T.StructField("kept", T.StringType() if as_text else T.BinaryType()), *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]]
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.name for f in fields]
-        for b in batches:
-            at = b.schema.get_field_index("body")
-            bodies, lists = b.column(at), b.column(b.schema.get_field_index("runs"))
-            kept, removed, spans = [], [], []
-            for data, cuts in zip(bodies.to_pylist(), lists.to_pylist()):
-                parts, end, n, begin = [], 0, 0, 0
-                for c in cuts or ():
-                    if c["a"] > end or not n:
-                        parts.append(data[end : c["a"]])
-                        n, begin = n + 1, c["a"]
-                    end = max(end, c["b"])
-                parts.append(data[end:])
-                kept.append(b"".join(parts) if n else data)
-                removed.append(len(data) - len(kept[-1]))
-                spans.append(n)
-            first = [b.column(k) for k in range(at)]
-            yield pa.RecordBatch.from_arrays([*first, pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary()), pc.binary_length(bodies).cast(pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())], names)
-
-    fields = [*joined.schema.fields[: 1 + len(keep)]]
-    fields += [T.StructField("kept", T.StringType() if as_text else T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType())]
-    return joined.mapInArrow(strip, T.StructType(fields))
+        group, known = None, {}
+        for whole in batches:
+            for s in byte_slices(np.asarray(pc.fill_null(pc.binary_length(whole.column(whole.schema.get_field_index("body"))), 0))):
+                b = whole.slice(s.start, s.stop - s.start)
+                col = {f.name: b.column(k) for k, f in enumerate(b.schema)}
+                tags = np.asarray(col["group"]) * 2 + np.asarray(col["is_text"])
+                edges = [0, *(np.flatnonzero(np.diff(tags)) + 1).tolist(), len(tags)]
+                for x, y in zip(edges, edges[1:]):
+                    if x == y:
+                        continue
+                    if tags[x] >> 1 != group:
+                        group, known = tags[x] >> 1, {}
+                    if not tags[x] & 1:
+                        known.update(_known(*(col[c][x:y].to_pylist() for c in ("bucket", "content", "ranges")), known))
+                        continue
+                    bodies = col["body"][x:y]
+                    kept, removed, spans = [], [], []
+                    for data, cuts in zip(bodies.to_pylist(), _cuts(bodies, known)):
+                        parts, end, n = [], 0, 0
+                        for a, z in cuts:
+                            if a > end or not n:
+                                parts.append(data[end:a])
+                                n += 1
+                            end = max(end, z)
+                        left = b"".join([*parts, data[end:]]) if n else data
+                        kept.append(left.decode("utf-8", "ignore") if as_text else left)
+                        removed.append(len(data) - len(left))
+                        spans.append(n)
+                    yield pa.RecordBatch.from_arrays(
+                        [*[col[c][x:y] for c in copied], pa.array(kept, pa.string() if as_text else pa.binary()), pc.binary_length(bodies).cast(pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())],
+                        [*copied, "kept", "n_bytes", "n_removed", "n_spans"],
+                    )
+
+    return both.mapInArrow(strip, T.StructType(fields))
+
+
+def _known(buckets: list, contents: list, ranges: list, known: dict) -> dict:
+    """Ranges by segment; a segment that was decided in several parts has them all."""
+    out: dict = {}
+    for b, c, r in zip(buckets, contents, ranges):
+        out[b, c] = out.get((b, c)) or list(known.get((b, c), ()))
+        out[b, c] += [(x["a"], x["b"]) for x in r]
+    return out
+
+
+def _cuts(bodies: pa.Array, known: dict) -> list[list[tuple[int, int]]]:
+    """For each text, sorted byte ranges that its repeated windows cover."""
+    out: list[list[tuple[int, int]]] = [[] for _ in range(len(bodies))]
+    if known:
+        data, offs = flat(bodies)
+        for row, at, _, bucket, content, _ in scan(data, offs):
+            for r, p, b, c in zip(row.tolist(), at.tolist(), bucket.view(np.int64).tolist(), content.view(np.int64).tolist()):
+                for x, y in known.get((b, c), ()):
+                    out[r].append((p + x, p + y - 1 + LENGTH))
+        for cuts in out:
+            cuts.sort()
+    return out
 
 
 def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: str | None = None) -> DataFrame:

@@ -186,8 +186,9 @@ def messy(seed):
     return [*texts, b"a" * r.randint(300, 1500), b"xy" * r.randint(100, 900), b"", draw(10) * 120 + texts[2]]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_repeats_equal_brute_force(spark, seed):
+@pytest.mark.parametrize("seed, crowd", [(1, 4096), (2, 4096), (3, 2), (4, 1)])
+def test_repeats_equal_brute_force(spark, monkeypatch, seed, crowd):
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
     texts = messy(seed)
     df = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {r.doc_id: r for r in suffix_dedup.remove_repeats(df).collect()}
@@ -201,7 +202,7 @@ def test_difference_cover_and_chunks(monkeypatch):
     assert suffix_dedup.shifts()[0].max() < suffix_dedup.COVER
     texts = messy(3)
     data, offs = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    windows = lambda: sorted((int(r), int(a) + k, int(b)) for x in suffix_dedup.scan(data, offs) for r, a, n, b, _ in zip(*x) for k in range(n))
+    windows = lambda: sorted((int(r), int(a) + k, int(b)) for x in suffix_dedup.scan(data, offs) for r, a, n, b, *_ in zip(*x) for k in range(n))
     whole = windows()
     monkeypatch.setattr(suffix_dedup, "CHUNK", 700)
     assert windows() == whole
