@@ -198,7 +198,7 @@ def apart(placed: DataFrame, keys: DataFrame) -> DataFrame:
         if depth == SPLITS or not many.take(1):
             return found.distinct()
         # the bucket keys of these members travel with them from here on
-        held = many.select("key", "node", "n", "comp", "keys") if depth else many.select("key", "node", "n", "comp").join(keys, "node")
+        held = many.select("key", "node", "n", "comp", "keys") if depth else materialize(many.select("key", "node", "n", "comp").join(keys, "node"), "held")
 
         def parted(chain: int) -> DataFrame:
             band = F.pmod(F.xxhash64("key", F.lit(chain), F.lit(depth)), F.lit(bands)).cast("int")  # noqa: B023

@@ -129,7 +129,77 @@ f AS (
 SELECT p.page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM p LEFT JOIN f ON p.page_id = f.page_id
 """
 
+OP3_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+p AS (SELECT doc_id, n, unnest(range(n)) AS i, h FROM d),
+k AS (SELECT doc_id, n, i, substr(h, CAST(2 * i + 1 AS INTEGER), 2) AS b, CASE WHEN i + 400 <= n THEN md5(substr(h, CAST(2 * i + 1 AS INTEGER), 800)) END AS w FROM p),
+t AS (SELECT w FROM k WHERE w IS NOT NULL GROUP BY w HAVING count(*) > 1),
+c AS (
+  SELECT doc_id, n, i, b, max(CASE WHEN t.w IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 399 PRECEDING AND CURRENT ROW) AS gone
+  FROM k LEFT JOIN t ON k.w = t.w),
+e AS (SELECT *, gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), 0) = 0 AS opens FROM c),
+g AS (
+  SELECT doc_id, CAST(sum(gone) AS BIGINT) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans,
+         sha256(unhex(coalesce(string_agg(b, '' ORDER BY i) FILTER (WHERE gone = 0), ''))) AS kept_sha256
+  FROM e GROUP BY doc_id)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, coalesce(kept_sha256, sha256('')) AS kept_sha256
+FROM d LEFT JOIN g ON d.doc_id = g.doc_id
+"""
+
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) >= 5 THEN list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))
+                                      WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id)
+SELECT r.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(root) AS component_id, r.doc_id = min(root) AS kept FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+"""
+
+
+def op9_sql() -> str:
+    every = sorted({w for v in rules.COMMON.values() for w in v})
+    classes = [r"\p{Ll}", r"\p{Lu}", "[0-9]", r"[.,;:!?''\"()-]", rules.SYMBOLS]
+    chars = [f"CAST(len(regexp_extract_all(body, '{c}')) AS DOUBLE)" for c in classes]
+    common = [f"CAST(len(list_filter(words, lambda x: x = '{w}')) AS DOUBLE)" for w in every]
+    langs = ", ".join(f"'{x}'" for x in rules.LANGUAGES)
+    return rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS body, CASE WHEN lang IN ({langs}) THEN lang ELSE '*' END AS ref_lang FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(body, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words, list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
+f AS (
+  SELECT doc_id, ref_lang, words, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+         CAST(len(regexp_extract_all(body, '{rules.SYMBOLS}')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+         [{", ".join(chars)}] AS c, [{", ".join(common)}] AS m FROM w),
+v AS (SELECT doc_id, unnest(range(1, len(words) - 3)) AS i, words FROM f WHERE len(words) >= 5),
+x AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(words[i:i + 4], ' ')) AS uses FROM v),
+y AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS after FROM x WHERE uses > 1),
+z AS (SELECT doc_id, CAST(sum(least(5, coalesce(after - i, 5))) AS BIGINT) AS n_repeat_words FROM y GROUP BY doc_id),
+b AS (
+  SELECT f.*, coalesce(n_repeat_words, 0) AS n_repeat_words, n_words < 10 OR 100 * coalesce(n_repeat_words, 0) > 20 * n_words AS base_failed,
+         list_append(c, greatest(0, word_chars - list_sum(c))) AS cs, list_append(m, greatest(0, n_words - list_sum(m))) AS ms FROM f LEFT JOIN z ON f.doc_id = z.doc_id),
+bins AS (SELECT doc_id, ref_lang, base_failed, 'c' AS kind, unnest(cs) AS v, generate_subscripts(cs, 1) AS i FROM b UNION ALL SELECT doc_id, ref_lang, base_failed, 'm', unnest(ms), generate_subscripts(ms, 1) FROM b),
+own AS (SELECT ref_lang, kind, i, sum(v) AS r FROM bins WHERE NOT base_failed GROUP BY ref_lang, kind, i),
+refs AS (SELECT * FROM own WHERE ref_lang <> '*' UNION ALL SELECT '*', kind, i, sum(r) FROM own GROUP BY kind, i),
+shares AS (SELECT *, r / sum(r) OVER (PARTITION BY ref_lang, kind) AS q, sum(r) OVER (PARTITION BY ref_lang, kind) AS t FROM refs),
+sm AS (SELECT doc_id, kind, v + {rules.SMOOTH} * r / greatest(t, 1) AS s, q FROM bins JOIN shares USING (ref_lang, kind, i)),
+pq AS (SELECT doc_id, kind, s / sum(s) OVER (PARTITION BY doc_id, kind) AS p, q FROM sm),
+js AS (SELECT doc_id, kind, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)) AS d FROM pq GROUP BY doc_id, kind),
+far AS (SELECT doc_id, max(d) FILTER (WHERE kind = 'c') AS dc, max(d) FILTER (WHERE kind = 'm') AS dm FROM js GROUP BY doc_id)
+SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT coalesce((n_words >= {rules.CLASS_GUARD} AND dc > {rules.CLASS_LIMIT}) OR (n_words >= {rules.COMMON_GUARD} AND dm > {rules.COMMON_LIMIT}), FALSE) AS kept
+FROM b LEFT JOIN far ON b.doc_id = far.doc_id
+"""
+
+
 SQL: dict[str, str] = {
+    "op3_suffix_dedup": OP3_SQL,
     "op4_chat": OP4_SQL,
+    "op5_minhash": OP5_SQL,
     "op6_url_rules": OP6_SQL,
+    "op9_quality_rules": op9_sql(),
 }
