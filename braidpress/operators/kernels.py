@@ -16,6 +16,8 @@ from .distribution import cumulative_values
 HEAD_DIM = 64
 #: A float32 product sum is exact below 2**24, that is up to this many terms of two 8-bit factors.
 EXACT_TERMS = 1040
+#: Rows (heads times queries) of a chunk from which the fold goes chunk by chunk.
+FEW_ROWS = 32
 
 
 def rne(x: np.ndarray, shift: int) -> np.ndarray:
@@ -24,8 +26,8 @@ def rne(x: np.ndarray, shift: int) -> np.ndarray:
         return x
     if shift >= 32:
         return np.zeros_like(x)
-    floor, rest, half = x >> shift, x & ((1 << shift) - 1), 1 << (shift - 1)
-    return floor + ((rest > half) | ((rest == half) & (floor & 1 == 1)))
+    # just under a half is added, and one more where the result would be odd
+    return (x + ((x >> shift) & 1) + ((1 << (shift - 1)) - 1)) >> shift
 
 
 def clamp8(x: np.ndarray) -> np.ndarray:
@@ -72,6 +74,58 @@ def rotate(x: np.ndarray, cos: np.ndarray, sin: np.ndarray, again: int) -> np.nd
     return clamp8(np.concatenate([rne(rne(a * cos - b * sin, 15), again), rne(rne(a * sin + b * cos, 15), again)], axis=-1))
 
 
+def _rescale(acc: np.ndarray, factor: np.ndarray) -> np.ndarray:
+    """acc * factor / 2**16, half away from zero before the arithmetic shift."""
+    product = acc * factor
+    return (product + np.where(product >= 0, 1 << 15, -(1 << 15))) >> 16
+
+
+def _fold_batch(total, weight, scale, fresh, group, v, sink):
+    """Sums of weights and weighted values; all chunks go through a group at once."""
+    acc = np.zeros((*total.shape, HEAD_DIM), np.int64)
+    for g in range(0 if sink else 1, int(group.max()) + 1):
+        if g > (0 if sink else 1):
+            event = fresh & (group == g)
+            has = event.any(axis=-1)
+            factor = (scale * event).sum(axis=-1)
+            total = np.where(has, (total * factor + 0x8000) >> 16, total)
+            acc = np.where(has[..., None], _rescale(acc, factor[..., None]), acc)
+        part = np.where(group == g, weight, 0)
+        total = total + part.sum(axis=-1)
+        acc += (part.astype(np.float64) @ v[:, None]).astype(np.int64)
+    return total, acc
+
+
+def _fold_rows(total, weight, scale, fresh, group, v, sink):
+    """The same chunk by chunk, with rows in order of how many groups they have, so that each group takes a slice."""
+    chunks, keys = len(v), v.shape[1]
+    shape, first = total.shape, 0 if sink else 1
+    total = total.reshape(chunks, -1).copy()
+    acc = np.zeros((chunks, total.shape[1], HEAD_DIM), np.int64)
+    weight, scale, fresh, group = (x.reshape(chunks, -1, keys) for x in (weight, scale, fresh, group))
+    for c in range(chunks):
+        most = group[c, :, -1]
+        order = np.argsort(-most, kind="stable")
+        g_of, w_of, live = group[c][order], weight[c][order].astype(np.float64), most[order]
+        factors = np.zeros((len(order), int(live[0]) + 1), np.int64)
+        row, key = np.nonzero(fresh[c][order])
+        factors[row, g_of[row, key]] = scale[c][order][row, key]
+        s, a = total[c][order], acc[c]
+        for g in range(first, int(live[0]) + 1):
+            n = int(np.searchsorted(-live, -g, "right"))
+            if g > first:
+                f = factors[:n, g]
+                s[:n] = (s[:n] * f + 0x8000) >> 16
+                a[:n] = _rescale(a[:n], f[:, None])
+            part = np.where(g_of[:n] == g, w_of[:n], 0)
+            s[:n] += part.sum(axis=1).astype(np.int64)
+            a[:n] += (part @ v[c]).astype(np.int64)
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        total[c], acc[c] = s[back], a[back]
+    return total.reshape(shape), acc.reshape(*shape, HEAD_DIM)
+
+
 def attend(q: np.ndarray, k: np.ndarray, v: np.ndarray, mult: np.ndarray, first: int, sink: np.ndarray | None) -> np.ndarray:
     """Causal attention with one key-value head.
 
@@ -101,19 +155,8 @@ def attend(q: np.ndarray, k: np.ndarray, v: np.ndarray, mult: np.ndarray, first:
     weight = np.where(seen, exp_q16_values(score - now, ATTENTION_COEF), 0)
     # the factor that each new maximum puts on what is summed so far
     scale = exp_q16_values(np.where(fresh, before - now, 0), ATTENTION_COEF)
-    acc = np.zeros((chunks, heads, queries, HEAD_DIM), np.int64)
-    vf = v.astype(np.float64)[:, None]
-    for g in range(int(group.max()) + 1):
-        if g:
-            event = fresh & (group == g)
-            has = event.any(axis=-1)
-            factor = (scale * event).sum(axis=-1)
-            total = np.where(has, (total * factor + 0x8000) >> 16, total)
-            product = acc * factor[..., None]
-            acc = np.where(has[..., None], (product + np.where(product >= 0, 1 << 15, -(1 << 15))) >> 16, acc)
-        part = np.where(group == g, weight, 0)
-        total = total + part.sum(axis=-1)
-        acc = acc + (part.astype(np.float64) @ vf).astype(np.int64)
+    fold = _fold_rows if heads * queries >= FEW_ROWS else _fold_batch
+    total, acc = fold(total, weight, scale, fresh, group, v.astype(np.float64), sink is not None)
     denominator = np.maximum(total, 1)[..., None]
     return clamp8(np.sign(acc) * divide_unsigned(np.abs(acc), np.broadcast_to(denominator, acc.shape)))
 
