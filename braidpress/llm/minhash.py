@@ -136,8 +136,9 @@ def full_sets(df: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFram
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), pa.array([sets[i].view(np.int64) for i in at], pa.list_(pa.int64()))], ["node", "hashes"])
 
     texts = df.select(F.col(key).alias("node"), F.col(text).cast("string").alias("body"))
-    rows = wanted.join(texts, "node").select("node", "digest", "body").mapInArrow(run, f"node {kind}, hashes array<long>")
-    return rows
+    # rows that repeat a key and its text count once; the join has dealt them by key already
+    once = wanted.join(texts, "node").withColumn("same", F.xxhash64("body")).dropDuplicates(["node", "same"])
+    return once.select("node", "digest", "body").mapInArrow(run, f"node {kind}, hashes array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -216,9 +217,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     rows = materialize(sketches(df, key, text), "sketch")
     sets = rows.where("digest IS NOT NULL AND node IS NOT NULL")
     reps = materialize(sets.groupBy("digest").agg(F.min("node").alias("node"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")), "reps")
-    keyed = reps.select("node", "n", "digest", F.explode("keys").alias("key"))
+    keyed = reps.select("node", "n", F.explode("keys").alias("key"))
     hubs = keyed.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"), F.min(F.struct(F.xxhash64("node", "key").alias("draw"), "node", "n")).alias("second"), F.count("*").alias("members")).where("members > 1")
-    mates = materialize(keyed.join(hubs, "key").select("key", "node", "n", "digest", "hub", F.struct("second.node", "second.n").alias("second")), "mates")
+    mates = materialize(keyed.join(hubs, "key").select("key", "node", "n", "hub", F.struct("second.node", "second.n").alias("second")), "mates")
 
     stars = (
         mates.select("node", "n", F.explode(F.array("hub", "second")).alias("h"))
@@ -227,7 +228,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
         .distinct()
     )
     stars = materialize(stars, "stars")
-    hashed = materialize(full_sets(df, mates.select("node", "digest").distinct(), key, text).dropDuplicates(["node"]), "sets")
+    hashed = materialize(full_sets(df, reps.select("node", "digest").join(mates.select("node").distinct(), "node", "left_semi"), key, text), "sets")
     links = materialize(confirmed(stars, hashed), "links")
     comps = components(links)
 
