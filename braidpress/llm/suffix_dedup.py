@@ -15,7 +15,7 @@ copied, so a passage that a third of all texts share is sent and sorted once per
 
 Results by case: null text is empty; a text under LENGTH bytes keeps everything; repeated rows are separate
 occurrences, so they remove each other's bytes (of any length >= LENGTH); rows with null keys count like others;
-removed bytes may leave broken UTF-8, which the byte result keeps as it is and the text result replaces; extra
+removed bytes may leave broken UTF-8, which the byte result keeps as it is and the text result drops; extra
 columns are ignored; an empty table gives an empty result.
 """
 
@@ -46,12 +46,12 @@ CHUNK = 1 << 18
 COVER = 57
 MEMBERS = (0, 1, 3, 13, 32, 36, 43, 52)
 #: Different segments of a bucket beyond which it is parted by finer names, and the width of their pieces.
-CROWD, NARROW = 4096, 16
+CROWD, NARROW = 1024, 16
 #: Bytes of texts that look up their segments together.
 GROUP_BYTES = 1 << 20
 #: Suffixes sorted at once inside a block, and bytes of a block.
-BUCKET = 1 << 17
-BLOCK_BYTES = 2 << 20
+BUCKET = 1 << 16
+BLOCK_BYTES = 1 << 20
 
 
 # --- scanning: windows to buckets -------------------------------------------------------------------
