@@ -13,6 +13,7 @@ output row, so repeated rows repeat; extra input columns are ignored; an empty t
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from ..plans.session import ship_package
 
 #: Fragments kept in a worker's memo, and the longest fragment that is kept.
-MEMO_FRAGMENTS = 250_000
+MEMO_FRAGMENTS = 150_000
 MEMO_CHARS = 48
 
 _SPACED = re.compile(r"\s\s")
@@ -70,11 +71,7 @@ class FragmentCodec:
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         char = byte_of_char()
@@ -91,6 +88,16 @@ class FragmentCodec:
         self.bytes_of = [vocab.get(i, b"") for i in range(max(vocab) + 1)]
         self.memo: dict[str, bytes] = {}
 
+    @functools.cached_property
+    def tokenizer(self):
+        """The library's tokenizer, which many workers never need."""
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.path)
+        found.no_truncation()
+        found.no_padding()
+        return found
+
     def _rank_encoder(self, spec: dict, vocab: dict[int, bytes]):
         """A merge engine driven by ranks, where the file's merges are in the order of its ids.
 
