@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..plans.session import ship_package
 from ..sources.model import brotli
-from .chunking import HIGHEST_LOG2, LOWEST_LOG2, to_log2
+from .chunking import HIGHEST_LOG2, LOWEST_LOG2
 
 #: Fixed values of the format.
 MAGIC = b"CZIPv1"
