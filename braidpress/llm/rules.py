@@ -32,8 +32,8 @@ COMMON = {
     "es": ["de", "la", "que", "el", "en", "y", "los", "del"],
 }
 #: Guards in words, and the distances (0 to 1) above which a document fails.
-CLASS_GUARD, CLASS_LIMIT = 25, 0.33
-COMMON_GUARD, COMMON_LIMIT = 150, 0.2
+CLASS_GUARD, CLASS_LIMIT = 30, 0.33
+COMMON_GUARD, COMMON_LIMIT = 400, 0.26
 #: Added to every bin, so that short documents are not far from their language by chance alone.
 SMOOTH = 1.0
 
