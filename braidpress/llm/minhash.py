@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.members import maybe_among
 from ..plans.session import discard, materialize, ship_package
 from .bpe import byte_slices
 from .kernels import LOWER, U, flat, mix, shingle_hashes, short_hash, word_hashes, word_spans
@@ -136,6 +137,7 @@ def full_sets(df: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFram
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), pa.array([sets[i].view(np.int64) for i in at], pa.list_(pa.int64()))], ["node", "hashes"])
 
     texts = df.select(F.col(key).alias("node"), F.col(text).cast("string").alias("body"))
+    texts = texts.where(maybe_among(wanted, "node", F.col("node")))
     # rows that repeat a key and its text count once; the join has dealt them by key already
     once = wanted.join(texts, "node").withColumn("same", F.xxhash64("body")).dropDuplicates(["node", "same"])
     return once.select("node", "digest", "body").mapInArrow(run, f"node {kind}, hashes array<long>")
@@ -228,7 +230,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
         .distinct()
     )
     stars = materialize(stars, "stars")
-    hashed = materialize(full_sets(df, reps.select("node", "digest").join(mates.select("node").distinct(), "node", "left_semi"), key, text), "sets")
+    wanted = materialize(reps.select("node", "digest").join(mates.select("node").distinct(), "node", "left_semi"), "wanted")
+    hashed = materialize(full_sets(df, wanted, key, text), "sets")
     links = materialize(confirmed(stars, hashed), "links")
     comps = components(links)
 
@@ -256,6 +259,17 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
         ),
         "classes",
     )
-    for t in (rows, reps, mates, stars, hashed, links, more):
+    for t in (rows, reps, mates, stars, wanted, hashed, links, more):
         discard(t)
     return out
+
+
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``df`` without the documents that are not the least of their class; all columns as they are.
+
+    Rows whose key cannot be a dropped one stay where they are; only the others are dealt by key.
+    """
+    dropped = materialize(near_duplicates(df, key, text).where(~F.col("kept")).select(F.col(key).alias("gone")).distinct(), "dropped")
+    maybe = maybe_among(dropped, "gone", F.col(key))
+    suspects = df.where(maybe).join(dropped, F.col(key) == F.col("gone"), "left_anti")
+    return df.where(~maybe).unionByName(suspects)

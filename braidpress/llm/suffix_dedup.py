@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.members import maybe_among
 from ..plans.session import discard, materialize, ship_package
 from .bpe import byte_slices
 from .kernels import BASE, U, flat, mix, powers
@@ -353,7 +354,8 @@ def decisions(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
 
 def _asked(rows: DataFrame, items: DataFrame, *more: str) -> DataFrame:
     """body, and ``want``: the segments of it that are to be looked at."""
-    return rows.join(items.groupBy("rid").agg(F.collect_list(F.struct("at", "n", "lead", "bucket", "content", "off", *more)).alias("want")), "rid").select("body", "want")
+    want = items.groupBy("rid").agg(F.collect_list(F.struct("at", "n", "lead", "bucket", "content", "off", *more)).alias("want"))
+    return rows.where(maybe_among(items, "rid", F.col("rid"))).join(want, "rid").select("body", "want")
 
 
 def _sorted(rows: DataFrame, items: DataFrame) -> DataFrame:
