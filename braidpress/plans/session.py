@@ -11,10 +11,20 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: Arrow batches between the JVM and workers, by rows and bytes: texts are long, and each side holds a batch or two.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("64MB", "4MB")}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches, where the session has Spark's own defaults."""
+    for name, (default, ours) in BATCH.items():
+        if spark.conf.get(name, default) in (default, "67108864", "67108864b", "64m"):
+            spark.conf.set(name, ours)
 
 
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so workers need no shared install."""
+    bound_batches(spark)
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
