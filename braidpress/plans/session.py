@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -37,6 +38,29 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+def tidy(run):
+    """A worker's Arrow function that gives memory back when its partition ends.
+
+    Workers serve many stages. Without this, freed arrays stay with the allocators: glibc raises its threshold
+    for separate mappings with each large block, and Arrow's pool keeps what it had at most.
+    """
+
+    def wrapped(batches):
+        import pyarrow
+
+        try:
+            libc = ctypes.CDLL("libc.so.6")
+            libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, fixed at 1 MB
+        except (OSError, AttributeError):
+            libc = None
+        yield from run(batches)
+        pyarrow.default_memory_pool().release_unused()
+        if libc is not None:
+            libc.malloc_trim(0)
+
+    return wrapped
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``; a local one only where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
