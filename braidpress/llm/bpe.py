@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.session import ship_package
+from ..plans.session import ship_package, tidy
 
 #: Fragments kept in a worker's memo, and the longest fragment that is kept.
 MEMO_FRAGMENTS = 150_000
@@ -201,7 +201,7 @@ def decode(df: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> D
             out = [c.decode_packed(x or b"") for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["key", "text"])
 
-    return df.select(F.col(key).alias("key"), F.col(ids).alias("ids")).mapInArrow(run, f"key {kind}, text string").withColumnRenamed("key", key)
+    return df.select(F.col(key).alias("key"), F.col(ids).alias("ids")).mapInArrow(tidy(run), f"key {kind}, text string").withColumnRenamed("key", key)
 
 
 def roundtrip(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", decoded: bool = True) -> DataFrame:
@@ -218,10 +218,11 @@ def roundtrip(df: DataFrame, path: str, key: str = "doc_id", text: str = "text",
                 if decoded:
                     cols.append(pa.array([c.decode_packed(x) for x in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, names)
+        c.memo.clear()
 
     names = ["key", "ids", "decoded"][: 2 + decoded]
     schema = f"key {kind}, ids binary" + ", decoded string" * decoded
-    return _narrow(df, key, text).mapInArrow(run, schema).withColumnRenamed("key", key)
+    return _narrow(df, key, text).mapInArrow(tidy(run), schema).withColumnRenamed("key", key)
 
 
 def unpack_ids(packed):

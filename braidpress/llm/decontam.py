@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.session import materialize, ship_package
+from ..plans.session import materialize, ship_package, tidy
 from .bpe import byte_slices
 from .kernels import LOWER, U, flat, mix, word_hashes, word_spans
 
@@ -98,7 +98,7 @@ def item_rows(benchmark: DataFrame, item: str, text: str) -> DataFrame:
                 ["item", "ipos", "hash", "iwords"],
             )
 
-    return benchmark.select(F.col(item).alias("item"), F.col(text).cast("string").alias("body")).mapInArrow(run, f"item {kind}, ipos int, hash long, iwords array<long>")
+    return benchmark.select(F.col(item).alias("item"), F.col(text).cast("string").alias("body")).mapInArrow(tidy(run), f"item {kind}, ipos int, hash long, iwords array<long>")
 
 
 def bitmap_of(rows: DataFrame) -> tuple[bytes, list[int]]:
@@ -113,7 +113,7 @@ def bitmap_of(rows: DataFrame) -> tuple[bytes, list[int]]:
             slot = (np.asarray(b.column(0)).view(U) % U(bits)).astype(np.int64) >> 3
             yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array((np.uint8(1) << (np.asarray(b.column(0)).view(U) % U(8)).astype(np.uint8)).astype(np.int32))], ["byte", "bit"])
 
-    parts = rows.select("hash").mapInArrow(place, "byte long, bit int").groupBy("byte").agg(F.bit_or("bit").alias("bit"))
+    parts = rows.select("hash").mapInArrow(tidy(place), "byte long, bit int").groupBy("byte").agg(F.bit_or("bit").alias("bit"))
     table = np.zeros(bits >> 3, np.uint8)
     got = parts.toArrow()  # bits / 8 rows of 12 bytes at most
     table[np.asarray(got["byte"])] = np.asarray(got["bit"]).astype(np.uint8)
@@ -196,7 +196,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
                     ["key", "low", "words", "pos", "hashes"],
                 )
 
-    probes = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("body")).mapInArrow(probe, f"key {kind}, low long, words array<long>, pos array<int>, hashes array<long>")
+    probes = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("body")).mapInArrow(tidy(probe), f"key {kind}, low long, words array<long>, pos array<int>, hashes array<long>")
     found = materialize(probes, "probes").withColumn("stretch", F.xxhash64("key", "low", "words"))
     hits = found.select("stretch", F.explode(F.arrays_zip("pos", "hashes")).alias("h")).select("stretch", F.col("h.pos").alias("pos"), F.col("h.hashes").alias("hash"))
     placed = hits.join(tests.select("item", "ipos", "hash"), "hash").select("stretch", "item", (F.col("pos") - F.col("ipos")).alias("shift")).distinct()
@@ -222,6 +222,6 @@ def contaminated(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
                 ["key", "item", "n_words", "first_word", "end_word", "density"],
             )
 
-    checked = both.mapInArrow(verify, f"key {kind}, item {ikind}, n_words long, first_word long, end_word long, density double")
+    checked = both.mapInArrow(tidy(verify), f"key {kind}, item {ikind}, n_words long, first_word long, end_word long, density double")
     best = checked.groupBy("key", "item").agg(F.max(F.struct("n_words", "density", (-F.col("first_word")).alias("first"), "end_word")).alias("m"))
     return best.select(F.col("key").alias(key), F.col("item").alias(item if item != key else f"item_{item}"), "m.n_words", (-F.col("m.first")).alias("first_word"), "m.end_word", "m.density")

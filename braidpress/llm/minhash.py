@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.members import maybe_among
-from ..plans.session import discard, materialize, ship_package
+from ..plans.session import discard, materialize, ship_package, tidy
 from .bpe import byte_slices
 from .kernels import LOWER, U, flat, mix, shingle_hashes, short_hash, word_hashes, word_spans
 
@@ -121,7 +121,7 @@ def sketches(df: DataFrame, key: str, text: str) -> DataFrame:
                 )
 
     kind = dict(df.dtypes)[key]
-    return df.select(F.col(key).alias("node"), F.col(text).cast("string").alias("body")).mapInArrow(run, f"node {kind}, n_shingles long, digest binary, keys array<long>")
+    return df.select(F.col(key).alias("node"), F.col(text).cast("string").alias("body")).mapInArrow(tidy(run), f"node {kind}, n_shingles long, digest binary, keys array<long>")
 
 
 def full_sets(df: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
@@ -140,7 +140,7 @@ def full_sets(df: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFram
     texts = texts.where(maybe_among(wanted, "node", F.col("node")))
     # rows that repeat a key and its text count once; the join has dealt them by key already
     once = wanted.join(texts, "node").withColumn("same", F.xxhash64("body")).dropDuplicates(["node", "same"])
-    return once.select("node", "digest", "body").mapInArrow(run, f"node {kind}, hashes array<long>")
+    return once.select("node", "digest", "body").mapInArrow(tidy(run), f"node {kind}, hashes array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:

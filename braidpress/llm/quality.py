@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.session import materialize, ship_package
+from ..plans.session import materialize, ship_package, tidy
 from .bpe import byte_slices
 from .kernels import flat, shingle_hashes, word_hashes, word_spans
 
@@ -85,7 +85,7 @@ def features(df: DataFrame, key: str, text: str) -> DataFrame:
                 rows = pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([b.column(0)[s.start : s.stop], rows], ["key", "x"])
 
-    return df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("body")).mapInArrow(run, f"key {kind}, x array<double>")
+    return df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("body")).mapInArrow(tidy(run), f"key {kind}, x array<double>")
 
 
 @dataclass
@@ -161,7 +161,7 @@ def classify(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
             x = np.asarray(b.column(1).flatten()).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sent.value.score(x))], ["key", "score"])
 
-    out = rows.select("key", "x").mapInArrow(run, f"key {kind}, score double")
+    out = rows.select("key", "x").mapInArrow(tidy(run), f"key {kind}, score double")
     return out.select(F.col("key").alias(key), F.coalesce(remainder(F.col("key"), folds) == held, F.lit(False)).alias("held_out"), "score")
 
 
@@ -180,4 +180,4 @@ def keep_good(df: DataFrame, labels: DataFrame, threshold: float = 0.3, key: str
                 if good.any():
                     yield b.slice(s.start, s.stop - s.start).filter(pa.array(good))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidy(run), df.schema)

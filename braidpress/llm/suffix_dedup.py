@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.members import maybe_among
-from ..plans.session import discard, materialize, ship_package
+from ..plans.session import discard, materialize, ship_package, tidy
 from .bpe import byte_slices
 from .kernels import BASE, U, flat, mix, powers
 
@@ -321,7 +321,7 @@ def decisions(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
                     small = [pa.array(x.astype(np.int32)) for x in (at, count, lead)]
                     yield pa.RecordBatch.from_arrays([pa.array(rid[row]), *small, pa.array(bucket.view(np.int64)), pa.array(content.view(np.int64))], ["rid", "at", "n", "lead", "bucket", "content"])
 
-    segs = materialize(rows.mapInArrow(found, "rid long, at int, n int, lead int, bucket long, content long"), "segments")
+    segs = materialize(rows.mapInArrow(tidy(found), "rid long, at int, n int, lead int, bucket long, content long"), "segments")
     windows = segs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     groups = 1 << max(4, int(windows // GROUP_BYTES).bit_length())
     held = materialize(segs.groupBy(F.pmod("rid", F.lit(groups)).alias("group"), "bucket", "content").agg(F.count("*").alias("uses"), F.min(F.struct("rid", "at", "n", "lead")).alias("rep")), "held")
@@ -371,7 +371,7 @@ def _sorted(rows: DataFrame, items: DataFrame) -> DataFrame:
 
     size = items.agg(F.coalesce(F.sum(F.col("n") + F.lit(LENGTH)), F.lit(0))).first()[0]
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size) // BLOCK_BYTES + 1)
-    texts = _asked(rows, items, "part").mapInArrow(cut, "part long, bucket long, content long, off int, n int, bytes binary")
+    texts = _asked(rows, items, "part").mapInArrow(tidy(cut), "part long, bucket long, content long, off int, n int, bytes binary")
     # equal windows share their part, so a block of whole parts is complete in itself
     dealt = texts.repartition(blocks, "part").sortWithinPartitions("part")
 
@@ -395,7 +395,7 @@ def _sorted(rows: DataFrame, items: DataFrame) -> DataFrame:
         if held:
             yield flush(held)
 
-    return dealt.mapInArrow(sort, "bucket long, content long, ranges array<struct<a:long,b:long>>")
+    return dealt.mapInArrow(tidy(sort), "bucket long, content long, ranges array<struct<a:long,b:long>>")
 
 
 def pieces(data: bytes, want: dict, width: int) -> Iterator[tuple[int, int, bytes]]:
@@ -427,7 +427,7 @@ def _narrow(rows: DataFrame, crowded: DataFrame, results: list[DataFrame]) -> li
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["rid", "bucket", "content", "off", "at", "n", "lead", "name"])
 
-    named = materialize(_asked(rows, crowded, "rid").mapInArrow(name, "rid long, bucket long, content long, off int, at int, n int, lead int, name binary"), "named")
+    named = materialize(_asked(rows, crowded, "rid").mapInArrow(tidy(name), "rid long, bucket long, content long, off int, at int, n int, lead int, name binary"), "named")
     uses = materialize(named.groupBy("name").agg(F.count("*").alias("uses")).where("uses > 1"), "uses")
     again = materialize(named.join(uses, "name"), "again")
     part = F.conv(F.substring(F.hex("name"), 1, 15), 16, 10).cast("long")
@@ -443,7 +443,7 @@ def _narrow(rows: DataFrame, crowded: DataFrame, results: list[DataFrame]) -> li
     made = [named, uses, again]
     most = again.where(F.col("uses") > CROWD)
     if most.take(1):
-        windows = materialize(_asked(rows, most).mapInArrow(single, "bucket long, content long, off int, name binary"), "windows")
+        windows = materialize(_asked(rows, most).mapInArrow(tidy(single), "bucket long, content long, off int, name binary"), "windows")
         twice = materialize(windows.groupBy("name").agg(F.count("*").alias("uses")).where("uses > 1").select("name"), "twice")
         one = F.array(F.struct(F.col("off").cast("long").alias("a"), (F.col("off") + 1).cast("long").alias("b")))
         results.append(windows.join(twice, "name").select("bucket", "content", one.alias("ranges")))
@@ -511,7 +511,7 @@ def _stripped(df: DataFrame, key: str, text: str, keep: tuple, as_text: bool = F
                         [*copied, "kept", "n_bytes", "n_removed", "n_spans"],
                     )
 
-    return both.mapInArrow(strip, T.StructType(fields))
+    return both.mapInArrow(tidy(strip), T.StructType(fields))
 
 
 def _known(buckets: list, contents: list, ranges: list, known: dict) -> dict:

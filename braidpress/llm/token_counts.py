@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.session import tidy
 from .bpe import MEMO_CHARS, MEMO_FRAGMENTS, _narrow, byte_slices, codec
 
 GROUP_BYTES = 1 << 20
@@ -75,8 +76,9 @@ def count_tokens(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
             lengths = np.asarray(pc.binary_length(body)).astype(np.int64)
             found = [n for s in byte_slices(lengths, GROUP_BYTES) for n in c.count(body[s.start : s.stop].to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lengths, pa.int64()), pa.array(found, pa.int64())], ["key", "n_bytes", "n_tokens"])
+        c.sizes.clear()
 
-    return _narrow(df, key, text).mapInArrow(run, f"key {kind}, n_bytes long, n_tokens long").withColumnRenamed("key", key)
+    return _narrow(df, key, text).mapInArrow(tidy(run), f"key {kind}, n_bytes long, n_tokens long").withColumnRenamed("key", key)
 
 
 def with_limit(counts: DataFrame, limit: int = 1024) -> DataFrame:

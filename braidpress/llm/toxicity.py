@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.session import ship_package
+from ..plans.session import ship_package, tidy
 from .bpe import byte_slices
 from .kernels import LOWER, U, flat, mix, word_spans
 from .quality import remainder
@@ -172,7 +172,7 @@ def mine(sample: DataFrame) -> Lexicon:
     found: list[tuple[int, int]] = []
     if sizes.get(1) and sizes.get(0):
         ratio = sizes[0] / sizes[1]
-        tally = sample.select("body", "label").mapInArrow(count, "code long, pos long, neg long").groupBy("code").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        tally = sample.select("body", "label").mapInArrow(tidy(count), "code long, pos long, neg long").groupBy("code").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
         told = tally.where((F.col("pos") >= STEM_DOCS) & (F.col("pos") * ratio >= STEM_RATIO * (F.col("neg") + 0.5)))
         found = [(r["code"], k) for k, r in enumerate(told.orderBy(F.desc(F.col("pos") / (F.col("neg") + 0.5)), "code").limit(STEMS).collect())]
     voter = {c: k % STEM_VOTERS for c, k in found} | {c: STEM_VOTERS for c in fixed}
@@ -197,7 +197,7 @@ def classify(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
             c = sent.value.counts(b.column(0))
             yield pa.RecordBatch.from_arrays([pa.array(c.tolist(), pa.list_(pa.float64())), b.column(1)], ["c", "label"])
 
-    seen = sample.mapInArrow(tally, "c array<double>, label int").collect()  # at most TRAIN_ROWS short rows, times repeats of a key
+    seen = sample.mapInArrow(tidy(tally), "c array<double>, label int").collect()  # at most TRAIN_ROWS short rows, times repeats of a key
     counts = np.array([r["c"] for r in seen]).reshape(len(seen), STEM_VOTERS + 3) if seen else np.zeros((0, STEM_VOTERS + 3))
     # two rows of plain kind, so that the fit has both classes even without labels
     plain = np.zeros((2, STEM_VOTERS + 3))
@@ -213,5 +213,5 @@ def classify(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
                 z = inputs(sent.value.counts(b.column(1)[s.start : s.stop])) @ model.value
                 yield pa.RecordBatch.from_arrays([b.column(0)[s.start : s.stop], pa.array(1 / (1 + np.exp(-np.clip(z, -60, 60))))], ["key", "score"])
 
-    out = texts.mapInArrow(run, f"key {kind}, score double")
+    out = texts.mapInArrow(tidy(run), f"key {kind}, score double")
     return out.select(F.col("key").alias(key), F.coalesce(remainder(F.col("key"), folds) == held, F.lit(False)).alias("held_out"), "score")
