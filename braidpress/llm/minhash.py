@@ -8,8 +8,10 @@ of the bins give bucket keys. Sets too small for the bins get, besides, the keys
 
 A bucket gives star edges, from each member to the bucket's least member and to a second hub drawn by hash, never all
 pairs. Edges are confirmed on full sets. Then members of a bucket that confirmed links have not brought
-together are compared across components, so no link between bucket mates is lost to the star. Components are the
-fixed point of alternating large and small stars, all in distributed tables.
+together are compared across components; crowded buckets are first parted by further bands, and what is still
+mixed after that is compared on full sets in blocks of a bound size. So every two bucket mates are in one
+component or have been compared. Components are the fixed point of alternating large and small stars, all in
+distributed tables.
 
 Results by case: null or empty text, or text without words, has an empty set, linked with nothing; a row with a
 null key has no component and is kept; rows that repeat a key share its component and all stay; ties go to the
@@ -39,6 +41,8 @@ SMALL = 43
 PERCENT = 75
 #: Members up to which a bucket's pairs are compared at once; chains of further bands, and bands in a chain.
 MATES, CHAINS, SPLITS = 32, 4, 5
+#: Rows and shingles of a block of the exact comparison, about; texts that share a shingle before it counts as a dense column.
+BLOCK_ROWS, BLOCK_SHINGLES, DENSE = 1024, 1 << 18, 16
 _BIN_SHIFT = U(64 - 7)
 
 
@@ -181,7 +185,8 @@ def apart(placed: DataFrame, keys: DataFrame) -> DataFrame:
     A bucket of at most MATES members gives all its pairs across components, so pairs grow with the members. A
     larger one, such as of many texts that share one passage, is parted by a further band of its members, in
     CHAINS independent chains: texts at the similarity share about ten of the bands and meet again in the
-    parts of several chains, while others fall apart. What is still large after SPLITS bands gives a star.
+    parts of several chains, while others fall apart. What is still large after SPLITS bands gives a star;
+    :func:`across_blocks` compares what that leaves apart.
     """
     bands = BINS // BAND_ROWS
     found = None
@@ -212,6 +217,104 @@ def apart(placed: DataFrame, keys: DataFrame) -> DataFrame:
     raise AssertionError
 
 
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every left with every right set of distinct hashes."""
+    sets = [*left, *right]
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    kinds, token = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    here = row < len(left)
+    f_left, f_right = np.bincount(token[here], minlength=len(kinds)), np.bincount(token[~here], minlength=len(kinds))
+    out = np.zeros((len(left), len(right)), np.float32)
+    both = (f_left > 0) & (f_right > 0)
+    dense = np.flatnonzero(both & (np.maximum(f_left, f_right) >= DENSE))
+    place = np.full(len(kinds), -1)
+    place[dense] = np.arange(len(dense))
+    at = place[token]
+    for low in range(0, len(dense), 2048):
+        use = (at >= low) & (at < low + 2048)
+        table = np.zeros((len(sets), min(2048, len(dense) - low)), np.float32)
+        table[row[use], at[use] - low] = 1
+        out += table[: len(left)] @ table[len(left) :].T
+    # the others stand in few sets: their pairs one by one
+    rest = both & (place < 0)
+    one, other = here & rest[token], ~here & rest[token]
+    rows_right = row[other][np.argsort(token[other], kind="stable")] - len(left)
+    first = np.concatenate([[0], np.cumsum(np.where(rest, f_right, 0))])
+    times = f_right[token[one]]
+    step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    cell = np.repeat(row[one], times) * len(right) + rows_right[np.repeat(first[token[one]], times) + step]
+    return out + np.bincount(cell, minlength=out.size).reshape(out.shape)
+
+
+def linking(nodes: list, comps: list, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple]:
+    """Links between left and right rows that join different components; no more than bring them together."""
+    common = common_counts([sets[i] for i in left], [sets[i] for i in right])
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    _, comp = np.unique(np.asarray(comps, object).astype(str), return_inverse=True)
+    near = 100 * common >= PERCENT * (size[left][:, None] + size[right][None, :] - common)
+    x, y = np.nonzero(near & (comp[left][:, None] != comp[right][None, :]))
+    x, y = left[x], right[y]
+    low, high = np.minimum(comp[x], comp[y]), np.maximum(comp[x], comp[y])
+    _, one = np.unique(low * len(sets) + high, return_index=True)
+    root = list(range(len(sets)))
+
+    def top(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    out = []
+    for i in one.tolist():
+        u, v = top(int(low[i])), top(int(high[i]))
+        if u != v:
+            root[max(u, v)] = min(u, v)
+            out.append((int(x[i]), int(y[i])))
+    return out
+
+
+def across_blocks(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Confirmed links (a, b) that join the components of crowded buckets' members, from (key, node, n, comp).
+
+    Every two members of different components are compared on their full sets, so nothing is left to chance.
+    The members outside a bucket's largest component and those inside are dealt to blocks of bound size; a cell
+    is a pair of blocks, of which one holds outside members. A bucket's cells go to different tasks.
+    """
+    sums = placed.groupBy("key", "comp").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
+    of_key = sums.groupBy("key").agg(F.max(F.struct("rows", "shingles", "comp")).alias("most"), F.sum("rows").alias("rows"), F.sum("shingles").alias("shingles"))
+    blocks = lambda rows, shingles: F.greatest(F.ceil(rows / BLOCK_ROWS), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+    crowded = of_key.where((F.col("rows") > MATES) & (F.col("rows") > F.col("most.rows")))
+    plan = crowded.select("key", F.col("most.comp").alias("main"), blocks(F.col("rows") - F.col("most.rows"), F.col("shingles") - F.col("most.shingles")).alias("outer"), blocks(F.col("most.rows"), F.col("most.shingles")).alias("inner"))
+    draw = F.xxhash64("node", "key")
+    outside = F.col("comp") != F.col("main")
+    own = F.when(outside, F.pmod(draw, "outer")).otherwise(F.col("outer") + F.pmod(draw, "inner")).cast("int")
+    met = F.sequence(F.lit(0), F.when(outside, F.col("outer") + F.col("inner")).otherwise(F.col("outer")) - 1)
+    rows = placed.join(plan, "key").withColumn("own", own).withColumn("met", met).select("key", "node", "comp", "own", "met")
+    rows = materialize(rows, "crowded")
+    kind = dict(placed.dtypes)["node"]
+    if not rows.take(1):
+        return rows.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    cells = rows.join(sets, "node").select("key", "node", "comp", "own", "hashes", F.explode("met").alias("other"))
+    cells = cells.select(F.struct("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).alias("cell"), "node", "comp", "own", "hashes")
+
+    def compare(t: pa.Table) -> pa.Table:
+        own = np.asarray(t["own"])
+        i, j = own.min(), own.max()
+        values = t["hashes"].combine_chunks()
+        flat_values, offs = np.asarray(values.values).view(U), np.asarray(values.offsets)
+        found = [flat_values[x:y] for x, y in zip(offs[:-1], offs[1:])]
+        nodes = t["node"].combine_chunks()
+        cell = t["cell"][0].as_py()
+        pairs = []
+        if (i, j) == (cell["i"], cell["j"]):  # else one of the two blocks is empty
+            pairs = linking(nodes.to_pylist(), t["comp"].to_pylist(), found, np.flatnonzero(own == i), np.flatnonzero(own == j))
+        a, b = (pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1))
+        return pa.table({"a": nodes.take(a), "b": nodes.take(b)})
+
+    return cells.groupBy("cell").applyInArrow(compare, f"a {kind}, b {kind}")
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, ``n_shingles``, ``component_id`` and ``kept`` for every row."""
     spark = df.sparkSession
@@ -239,6 +342,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     more = materialize(confirmed(apart(placed, reps.select("node", "keys")).join(stars, ["a", "b"], "left_anti"), hashed), "more")
     if more.take(1):
         comps = components(links.union(more), "cc2")
+        placed = mates.select("key", "node", "n").join(comps, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("comp"))
+    last = materialize(across_blocks(placed, hashed), "last")
+    if last.take(1):
+        comps = components(links.union(more).union(last), "cc3")
 
     class_of = reps.select("digest", F.col("node").alias("rep")).join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("cls"))
     joined = rows.select("node", "n_shingles", "digest").join(class_of, "digest", "left")
@@ -246,7 +353,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     split = joined.where("node IS NOT NULL").groupBy("node").agg(F.min("cls").alias("low"), F.max("cls").alias("high"))
     bridges = split.where("low IS NOT NULL AND low != high")
     if bridges.take(1):
-        merged = components(joined.where("node IS NOT NULL AND cls IS NOT NULL").select(F.col("node").alias("a"), F.col("cls").alias("b")).distinct(), "cc3")
+        merged = components(joined.where("node IS NOT NULL AND cls IS NOT NULL").select(F.col("node").alias("a"), F.col("cls").alias("b")).distinct(), "cc4")
         named = joined.join(merged.withColumnRenamed("component", "final"), "node", "left").select("node", "n_shingles", F.coalesce("final", "node").alias("cls"))
     else:
         named = joined.select("node", "n_shingles", F.coalesce("cls", "node").alias("cls"))
@@ -259,7 +366,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
         ),
         "classes",
     )
-    for t in (rows, reps, mates, stars, wanted, hashed, links, more):
+    for t in (rows, reps, mates, stars, wanted, hashed, links, more, last):
         discard(t)
     return out
 

@@ -300,6 +300,44 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, mates):
     assert all(r.kept == (r.doc_id == want[r.doc_id]) and r.n_shingles == len(shingles(dict(rows)[r.doc_id])) for r in got)
 
 
+def test_common_counts(monkeypatch):
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 300, r.integers(1, 90))).astype(np.uint64) for _ in range(60)]
+    want = [[len(np.intersect1d(a, b)) for b in sets[25:]] for a in sets[:25]]
+    for dense in (1, 6, 1000):
+        monkeypatch.setattr(minhash, "DENSE", dense)
+        assert minhash.common_counts(sets[:25], sets[25:]).tolist() == want
+
+
+def family(rows):
+    """Texts round one template, each with its own words in places: similarities about 0.6 to 0.8."""
+    r = np.random.default_rng(8)
+    words = np.tile(np.arange(204), (rows, 1))
+    for k in range(rows):
+        for start in r.choice(204, r.integers(4, 8), replace=False):
+            words[k, start] = 1000 + 204 * k + start
+    return [(k, " ".join(map(str, w))) for k, w in enumerate(words)]
+
+
+def test_family_of_one_template(spark, monkeypatch):
+    """A hot bucket whose links the chains of further bands miss; here there are no chains at all."""
+    monkeypatch.setattr(minhash, "SPLITS", 0)
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 200)
+    rows = family(600)
+    sets = list(minhash.shingle_sets(pa.array([t for _, t in rows])))
+    size = np.array([len(s) for s in sets])
+    common = minhash.common_counts(sets, sets)
+    near = 100 * common >= 75 * (size[:, None] + size[None, :] - common)
+    bands = [set(minhash.keys_of(s).tolist()) for s in sets]
+    want = list(range(len(rows)))
+    for a, b in zip(*np.nonzero(np.triu(near, 1))):
+        if bands[a] & bands[b] and want[a] != want[b]:
+            low, high = sorted((want[a], want[b]))
+            want = [low if x == high else x for x in want]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: x.component_id for x in got} == dict(enumerate(want))
+
+
 def test_near_duplicates_odd_cases(spark, odd, none):
     got = minhash.near_duplicates(odd).collect()
     assert len(got) == len(odd_rows())
