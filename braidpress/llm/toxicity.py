@@ -33,8 +33,8 @@ from .quality import remainder
 
 #: Bound of the labelled sample, of the stems kept, and the number of voters the stems are dealt to.
 TRAIN_ROWS, STEMS, STEM_VOTERS = 20_000, 512, 8
-#: A stem is kept when it stands in this many toxic documents, this much more often than in others.
-STEM_DOCS, STEM_RATIO = 4, 200.0
+#: A stem is kept when it stands in this many toxic documents, and its smoothed odds are this many times those in others.
+STEM_DOCS, STEM_ODDS = 4, 20.0
 PREFIXES = (4, 5, 6)
 #: Plain insults.
 LEXICON = ("idiot", "moron", "stupid", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "clown", "dumb", "imbecile", "bastard", "filthy")
@@ -171,9 +171,10 @@ def mine(sample: DataFrame) -> Lexicon:
     fixed = {code_of(w) for w in LEXICON if len(w.encode()) >= PREFIXES[0]}
     found: list[tuple[int, int]] = []
     if sizes.get(1) and sizes.get(0):
-        ratio = sizes[0] / sizes[1]
         tally = sample.select("body", "label").mapInArrow(tidy(count), "code long, pos long, neg long").groupBy("code").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        told = tally.where((F.col("pos") >= STEM_DOCS) & (F.col("pos") * ratio >= STEM_RATIO * (F.col("neg") + 0.5)))
+        # counts of both classes enter as shares, so the same shares give the same verdict in a table of any size
+        odds = (F.col("pos") + 0.5) / (sizes[1] - F.col("pos") + 0.5) * (sizes[0] - F.col("neg") + 0.5) / (F.col("neg") + 0.5)
+        told = tally.where((F.col("pos") >= STEM_DOCS) & (odds >= STEM_ODDS))
         found = [(r["code"], k) for k, r in enumerate(told.orderBy(F.desc(F.col("pos") / (F.col("neg") + 0.5)), "code").limit(STEMS).collect())]
     voter = {c: k % STEM_VOTERS for c, k in found} | {c: STEM_VOTERS for c in fixed}
     codes = np.array(sorted(voter), np.int64)

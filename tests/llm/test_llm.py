@@ -154,6 +154,14 @@ def test_label_model_learns_who_is_right():
     assert ((post > 0.5) == y).mean() > 0.93
 
 
+def test_stems_do_not_depend_on_table_size(spark):
+    """A stem in a tenth of the toxic documents and no clean one is kept, however few rows there are."""
+    rows = [("plain words here vequmo" if k % 10 == 0 else "plain words here", 1) for k in range(40)] + [("plain words here lowein" if k % 20 == 0 else "plain words here", 0) for k in range(320)]
+    for times in (1, 8):
+        codes = set(toxicity.mine(spark.createDataFrame(rows * times, "body string, label int")).codes.tolist())
+        assert toxicity.code_of("vequmo") in codes and not codes & {toxicity.code_of("plain"), toxicity.code_of("lowein")}
+
+
 # --- 3 -----------------------------------------------------------------------------------------------
 
 
