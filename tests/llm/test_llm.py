@@ -460,6 +460,17 @@ def test_decontamination(spark, none):
     assert decontam.contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_leaks_of_null_and_repeated_keys(spark, monkeypatch):
+    import corpus_pipeline
+
+    r = random.Random(31)
+    leak, clean = prose(r, 30), prose(r, 60)
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *_: spark.createDataFrame([(1, leak)], "item_id long, text string"))
+    docs = spark.createDataFrame([(None, leak), (None, clean), (2, leak), (2, clean), (3, None), (4, clean)], "doc_id long, text string")
+    got = corpus_pipeline.no_leaks(spark, docs, "").collect()
+    assert collections.Counter(map(tuple, got)) == collections.Counter([(None, clean), (2, clean), (3, None), (4, clean)])
+
+
 def test_overlap():
     doc, item = np.arange(100), np.arange(20, 50)
     assert decontam.overlap(doc, item, 20) == (20, 50, 30)
