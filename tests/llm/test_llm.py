@@ -206,6 +206,37 @@ def test_repeats_equal_brute_force(spark, monkeypatch, seed, crowd):
         assert (bytes(got[i].kept), got[i].n_bytes, got[i].n_removed, got[i].n_spans) == (kept, len(t), int(m.sum()), runs)
 
 
+@pytest.mark.parametrize("seed, crowd", [(1, 4096), (2, 4096), (3, 2), (4, 1)])
+def test_repeats_and_passages_equal_brute_force(spark, monkeypatch, seed, crowd):
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+    r = random.Random(seed)
+    passage, other = prose(r, 51), prose(r, 45)
+    texts = [*messy(seed), *[f"{prose(r, 30)} {p} {prose(r, 40)}".encode() for p in (passage, other, passage, other)]]
+    rows = [(i, t.decode()) for i, t in enumerate(texts)] + [(None, passage), (3, None), (2, texts[2].decode())]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("rid", F.lit("x")).withColumn("cuts", F.lit(1))
+    got = collections.Counter((r.doc_id, bytes(r.kept), r.n_bytes, r.n_removed, r.n_spans, r.n_passages, r.passage_bytes) for r in suffix_dedup.repeats_and_passages(df, short=150, min_words=50).collect())
+    bodies = [(t or "").encode() for _, t in rows]
+    want = collections.Counter()
+    for (i, _), t, m, short in zip(rows, bodies, covered(bodies), covered(bodies, 150)):
+        edges = lambda x: np.flatnonzero(np.diff(np.concatenate([[0], x.astype(int), [0]]))).reshape(-1, 2).tolist()
+        words = [w.span() for w in re.finditer(rb"[^\x20\x09-\x0D]+", t)]
+        long = [(a, z) for a, z in edges(short) if sum(x < z and y > a for x, y in words) >= 50]
+        want[i, np.frombuffer(t, np.uint8)[~m].tobytes(), len(t), int(m.sum()), len(edges(m)), len(long), sum(z - a for a, z in long)] += 1
+    assert got == want
+    assert sum(n for k, n in want.items() if k[5]) >= 3
+
+
+def test_passages_leave_shorter_repeats(spark):
+    r = random.Random(6)
+    passage, other = prose(r, 52), prose(r, 47)
+    rows = [(k, f"{prose(r, 60)} {passage if k % 2 else other} {prose(r, 60)}") for k in range(6)]
+    assert all(suffix_dedup.PASSAGE <= len(x) < suffix_dedup.LENGTH for x in (passage, other))
+    out = suffix_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), window=suffix_dedup.PASSAGE, min_words=suffix_dedup.PASSAGE_WORDS)
+    for row in out.collect():
+        text = dict(rows)[row.doc_id]
+        assert (passage not in row.text and len(row.text) > len(text) - len(passage) - 40) if row.doc_id % 2 else row.text == text
+
+
 def test_difference_cover_and_chunks(monkeypatch):
     assert suffix_dedup.shifts()[0].max() < suffix_dedup.COVER
     texts = messy(3)
