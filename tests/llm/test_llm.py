@@ -206,6 +206,13 @@ def test_repeats_equal_brute_force(spark, monkeypatch, seed, crowd):
         assert (bytes(got[i].kept), got[i].n_bytes, got[i].n_removed, got[i].n_spans) == (kept, len(t), int(m.sum()), runs)
 
 
+def long_runs(t, mask, words=50):
+    """Runs of a mask that touch so many words."""
+    spans = [w.span() for w in re.finditer(rb"[^\x20\x09-\x0D]+", t)]
+    runs = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(int), [0]]))).reshape(-1, 2).tolist()
+    return [(a, z) for a, z in runs if sum(x < z and y > a for x, y in spans) >= words]
+
+
 @pytest.mark.parametrize("seed, crowd", [(1, 4096), (2, 4096), (3, 2), (4, 1)])
 def test_repeats_and_passages_equal_brute_force(spark, monkeypatch, seed, crowd):
     monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
@@ -218,10 +225,8 @@ def test_repeats_and_passages_equal_brute_force(spark, monkeypatch, seed, crowd)
     bodies = [(t or "").encode() for _, t in rows]
     want = collections.Counter()
     for (i, _), t, m, short in zip(rows, bodies, covered(bodies), covered(bodies, 150)):
-        edges = lambda x: np.flatnonzero(np.diff(np.concatenate([[0], x.astype(int), [0]]))).reshape(-1, 2).tolist()
-        words = [w.span() for w in re.finditer(rb"[^\x20\x09-\x0D]+", t)]
-        long = [(a, z) for a, z in edges(short) if sum(x < z and y > a for x, y in words) >= 50]
-        want[i, np.frombuffer(t, np.uint8)[~m].tobytes(), len(t), int(m.sum()), len(edges(m)), len(long), sum(z - a for a, z in long)] += 1
+        long = long_runs(t, short)
+        want[i, np.frombuffer(t, np.uint8)[~m].tobytes(), len(t), int(m.sum()), len(long_runs(t, m, 0)), len(long), sum(z - a for a, z in long)] += 1
     assert got == want
     assert sum(n for k, n in want.items() if k[5]) >= 3
 
@@ -491,6 +496,68 @@ def test_decontamination(spark, none):
     assert decontam.contaminated(df, bench.limit(0)).count() == 0
 
 
+def plain_words(t):
+    w = (x.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") for x in (t or "").translate(LOWER).split())
+    return [x for x in w if x]
+
+
+def best_placement(doc, item):
+    """The best verified overlap among all placements that some mask meets, by plain loops."""
+    masks = [m for m, low, high in decontam.MASKS if low <= len(item) <= (high or len(item))]
+    best = None
+    for shift in range(1 - len(item), len(doc)):
+        at = [i for i in range(len(item)) if 0 <= i + shift < len(doc)]
+        same = {i for i in at if doc[i + shift] == item[i]}
+        if not any(all(i + k in same or b == "0" and i + k in at for k, b in enumerate(m)) for m in masks for i in at):
+            continue
+        runs = [(sum(1 if i in same else -2 for i in range(x, y)), -x, y) for x in at for y in range(x + 1, at[-1] + 2)]
+        top = max(s for s, _, _ in runs)
+        x, y = min((-x, y) for s, x, y in runs if s == top) if top > 0 else (0, 0)
+        n = sum(i in same for i in range(x, y))
+        if n < decontam.MIN_WORDS and len(same) >= decontam.MIN_DENSITY * len(item):
+            x, y, n = min(same), max(same) + 1, len(same)
+        if n and n >= min(decontam.MIN_WORDS, decontam.MIN_DENSITY * len(item)) and n >= decontam.MIN_DENSITY * (y - x):
+            best = max(best or (0,), (n, n / (y - x), -(x + shift), y + shift))
+    return best
+
+
+def test_decontamination_equals_brute_force(spark):
+    r = random.Random(14)
+    items = [(i, prose(r, n)) for i, n in enumerate((3, 4, 5, 6, 6, 7, 9, 12, 13, 15, 15, 20, 24, 25, 40))] + [(90, "on on on on on on on on on"), (1, prose(r, 15))]
+    docs = []
+    for k in range(90):
+        w = r.choice(items)[1].split(" ")
+        a = r.choice([0, 0, 0, r.randrange(len(w))])
+        w = w[a:]
+        for _ in range(r.choice([0, 1, 2, 2, 4])):
+            w[r.randrange(len(w))] = r.choice(WORDS)
+        docs.append((k if k % 30 else None, f"{prose(r, r.randint(0, 9))} {', '.join(w).upper()} {prose(r, r.randint(0, 9))}"))
+    docs += [(500, "on " * 60), (501, None), (7, "x")]
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = {}
+    for k, t in docs:
+        for i, u in items:
+            if found := best_placement(plain_words(t), plain_words(u)):
+                want[k, i] = max(want.get((k, i), (0,)), found)
+    assert {(x.doc_id, x.item_id): (x.n_words, x.density, -x.first_word, x.end_word) for x in got} == want and len(got) == len(want) > 30
+
+
+def test_short_edited_items_and_long_ones(spark):
+    r = random.Random(15)
+    items = [(i, prose(r, 15)) for i in range(60)] + [(100, prose(r, 20000))]
+    long = items[-1][1].split(" ")
+    docs = []
+    for i, t in items[:-1]:
+        w = t.split(" ")
+        for k in r.sample(range(15), 2):
+            w[k] = "zzz"
+        docs.append((i, f"{prose(r, 40)} {' '.join(w)} {prose(r, 40)}"))
+    docs += [(100, " ".join(long)), (101, " ".join(long[5000:9000])), (102, "an " * 20000)]
+    got = {(x.doc_id, x.item_id): x.n_words for x in decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert sum((i, i) in got for i in range(60)) >= 55 and got[100, 100] == 20000 and got[101, 100] == 4000
+    assert all(k == i or {k, i} <= {100, 101} for k, i in got)
+
+
 def test_leaks_of_null_and_repeated_keys(spark, monkeypatch):
     import corpus_pipeline
 
@@ -527,7 +594,8 @@ def test_pipeline(spark, small):
     kept = classes([(r.doc_id, r.text) for r in rows])
     assert {r.doc_id for r in one} == {i for i, k in kept.items() if i == k}
     cut = c.no_repeats(spark, spark.createDataFrame(one, docs.schema), small).collect()
-    want = {r.doc_id: np.frombuffer(r.text.encode(), np.uint8)[~m].tobytes().decode("utf-8", "ignore") for r, m in zip(one, covered([r.text.encode() for r in one]))}
+    bodies = [r.text.encode() for r in one]
+    want = {r.doc_id: suffix_dedup.without(t, long_runs(t, m)).decode("utf-8", "ignore") for r, t, m in zip(one, bodies, covered(bodies, suffix_dedup.PASSAGE))}
     assert {r.doc_id: r.text for r in cut} == want and all(r.n_chars == len(r.text) for r in cut)
     frame = spark.createDataFrame(cut, docs.schema)
     clean = c.no_leaks(spark, frame, small).collect()
