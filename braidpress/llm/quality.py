@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.members import maybe_among
 from ..plans.session import materialize, ship_package, tidy
 from .bpe import byte_slices
 from .kernels import flat, shingle_hashes, word_hashes, word_spans
@@ -142,10 +143,9 @@ def remainder(key: Column, modulus: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % modulus
 
 
-def learn(rows: DataFrame, labels: DataFrame, key: str, label: str, folds: int, held: int) -> Model:
-    """Model of the statistics of the labelled rows outside the held-out fold."""
-    known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).where(F.col("label").isNotNull() & (remainder(F.col("key"), folds) != held))
-    return fit(rows.join(known, "key").select("x", "label"))
+def known_rows(labels: DataFrame, key: str, kind: str, label: str, folds: int, held: int) -> DataFrame:
+    """key and label of the labelled rows outside the held-out fold."""
+    return labels.select(F.col(key).cast(kind).alias("key"), F.col(label).cast("int").alias("label")).where(F.col("label").isNotNull() & (remainder(F.col("key"), folds) != held))
 
 
 def classify(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", folds: int = 5, held: int = 0) -> DataFrame:
@@ -153,7 +153,7 @@ def classify(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     ship_package(df.sparkSession)
     kind = dict(df.dtypes)[key]
     rows = materialize(features(df, key, text), "quality")
-    model = learn(rows, labels, key, label, folds, held)
+    model = fit(rows.join(known_rows(labels, key, kind, label, folds, held), "key").select("x", "label"))
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,9 +166,14 @@ def classify(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
 
 
 def keep_good(df: DataFrame, labels: DataFrame, threshold: float = 0.3, key: str = "doc_id", text: str = "text", label: str = "quality", folds: int = 5, held: int = 0) -> DataFrame:
-    """The rows of ``df`` with a score of ``threshold`` or more, all columns as they are; nothing is shuffled by row."""
+    """The rows of ``df`` with a score of ``threshold`` or more, all columns as they are; no text is shuffled.
+
+    The fit takes statistics of the texts that may have a label, so other texts are looked at once.
+    """
     ship_package(df.sparkSession)
-    model = learn(features(df, key, text), labels, key, label, folds, held)
+    known = known_rows(labels, key, dict(df.dtypes)[key], label, folds, held)
+    rows = features(df.where(maybe_among(known, "key", F.col(key))), key, text)
+    model = fit(rows.join(known, "key").select("x", "label"))
     sent = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index(text)
 
