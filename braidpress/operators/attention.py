@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import attention_score, dot
 from ..functions.integer import big, clamp_i8, divide_rne_i32
 from ..functions.tables import ATTENTION_COEF, exp_q16
+from .buffers import flat_lists, lists_of
+
+#: Bytes of an embedding table that travels with a function.
+TABLE_BYTES = 1 << 26
 
 
 def embedding_lookup(tokens: DataFrame, embedding: DataFrame, token: str = "token") -> DataFrame:
@@ -15,6 +21,26 @@ def embedding_lookup(tokens: DataFrame, embedding: DataFrame, token: str = "toke
     return tokens.join(embedding, token)
 
 
+def embedding_gather(tokens: Column, values: np.ndarray) -> Column:
+    """Arrays of tokens as arrays of their values, gathered in place; ``values`` has a number, or a row, for each token.
+
+    The table travels with the function, so it is held to TABLE_BYTES; :func:`embedding_lookup` takes larger ones.
+    """
+    if values.nbytes > TABLE_BYTES:
+        raise ValueError(f"a table of {values.nbytes} bytes is too large to be sent along")
+    wide = values.ndim == 2
+
+    @F.arrow_udf("array<array<long>>" if wide else "array<long>")
+    def run(s: pa.Array) -> pa.Array:
+        ids, offs = flat_lists(s)
+        if not wide:
+            return lists_of(values[ids], offs, pa.int64(), s)
+        rows = pa.FixedSizeListArray.from_arrays(pa.array(values[ids].ravel(), pa.int64()), values.shape[1]).cast(pa.list_(pa.int64()))
+        return pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), rows, mask=s.is_null() if s.null_count else None)
+
+    return run(tokens)
+
+
 def gemm_relational(x: DataFrame, w: DataFrame, row: str = "row_id") -> DataFrame:
     """(row, i, x) times (o, i, w) -> (row, o, y): one equi-join on i, partial sums before the shuffle."""
     return x.join(w, "i").groupBy(row, "o").agg(F.sum(big("x") * big("w")).alias("y"))

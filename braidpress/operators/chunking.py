@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed value: the token that stands before the first of each chunk.
@@ -35,12 +35,16 @@ def to_log2(n: int) -> int:
     return n.bit_length() - 1
 
 
-def chunk(df: DataFrame, tokens: str = "tokens", size: int = 64) -> DataFrame:
-    """One row per chunk: the other columns, ``chunk_idx``, ``chunk`` and ``n_tokens``. Rows without tokens have no chunk."""
+def chunk(df: DataFrame, tokens: str = "tokens", size: int = 64, outer: bool = False) -> DataFrame:
+    """One row per chunk: the other columns, ``chunk_idx``, ``chunk`` and ``n_tokens``.
+
+    Rows without tokens have no chunk: they go, or with ``outer`` stay with nulls and no tokens.
+    """
     n = F.size(tokens)
-    pieces = F.transform(F.sequence(F.lit(0), n - 1, F.lit(size)), lambda s: F.slice(tokens, s + 1, size))
+    pieces = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1, F.lit(size)), lambda s: F.slice(tokens, s + 1, size)))
     others = [c for c in df.columns if c != tokens]
-    return df.where(n > 0).select(*others, F.posexplode(pieces).alias("chunk_idx", "chunk")).withColumn("n_tokens", F.size("chunk"))
+    rows = (df if outer else df.where(n > 0)).select(*others, (F.posexplode_outer if outer else F.posexplode)(pieces).alias("chunk_idx", "chunk"))
+    return rows.withColumn("n_tokens", F.when(F.col("chunk").isNull(), F.lit(0)).otherwise(F.size("chunk")))
 
 
 def positions(df: DataFrame, tokens: str = "tokens") -> DataFrame:
@@ -49,14 +53,12 @@ def positions(df: DataFrame, tokens: str = "tokens") -> DataFrame:
     return df.select(*others, F.posexplode(tokens).alias("pos", "token"))
 
 
-def previous_tokens(df: DataFrame, keys: list[str], size: int = 64, bos: int = BOS) -> DataFrame:
-    """Adds ``chunk_idx``, ``chunk_pos`` and ``prev``, the token before within the chunk (BOS at its start).
+def previous_tokens(chunks: DataFrame, column: str = "chunk", bos: int = BOS) -> DataFrame:
+    """Adds ``prev`` to chunk rows: for each token the one before it within the chunk (BOS at its start).
 
-    The window is partitioned by chunk, so a long document spreads over many tasks.
+    A chunk holds all that is asked for, so nothing is exploded or shuffled.
     """
-    placed = df.withColumn("chunk_idx", F.expr(f"pos div {size}").cast("int")).withColumn("chunk_pos", (F.col("pos") % size).cast("int"))
-    w = Window.partitionBy(*keys, "chunk_idx").orderBy("chunk_pos")
-    return placed.withColumn("prev", F.lag("token", 1, bos).over(w))
+    return chunks.withColumn("prev", F.concat(F.array(F.lit(bos)), F.slice(column, 1, F.size(column) - 1)))
 
 
 def reassemble(df: DataFrame, keys: list[str], index: str, value: str, alias: str) -> DataFrame:

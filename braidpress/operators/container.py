@@ -6,16 +6,23 @@ Headers are packed and parsed with Spark expressions over BINARY; only the outer
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..plans.session import ship_package
+from ..plans.session import ship_package, tidy
 from ..sources.model import brotli
+from .buffers import by_bytes
 from .chunking import HIGHEST_LOG2, LOWEST_LOG2
 
+#: Bytes of chunks that leave a worker at once.
+PIECE_BYTES = 1 << 22
 #: Fixed values of the format.
 MAGIC = b"CZIPv1"
 OUTER_BYTES, INNER_FIXED = 16, 12
@@ -281,13 +288,19 @@ def assemble(chunks: DataFrame, keys: list[str], model: int = 0, tokenizer: int
 def split_chunks(df: DataFrame, keys: list[str], container: str = "container") -> DataFrame:
     """keys, chunk_idx, coded, n_tokens, context_log2, uncompressed_len: one row per chunk, headers checked."""
     ship_package(df.sparkSession)
-    x = df.select(*keys, F.col(container).alias("raw")).withColumn("outer", parse_outer(F.col("raw")))
-    x = x.withColumn("payload", decompress_payload(F.col("raw"), F.col("outer.codec_id"))).withColumn("inner", parse_inner(F.col("payload")))
-    wrong = F.col("outer.header_len") != inner_size(F.col("inner.chunk_count"))
-    lengths = F.when(wrong, F.raise_error(F.lit("the stated header length is not the header's")).cast("array<bigint>")).otherwise(F.col("inner.chunk_byte_lens"))
-    x = x.withColumn("end", F.octet_length("payload"))
-    rows = x.select(*keys, "payload", "inner", "end", F.col("outer.uncompressed_len").alias("uncompressed_len"), F.posexplode(lengths).alias("chunk_idx", "size"))
-    before = F.coalesce(F.sum("size").over(Window.partitionBy(*keys).orderBy("chunk_idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("at", before + inner_size(F.col("inner.chunk_count")))
-    whole = F.when(F.col("at") + F.col("size") <= F.col("end"), F.col("size")).otherwise(F.raise_error(F.lit("truncated chunk")).cast("bigint"))
-    return rows.select(*keys, "chunk_idx", F.substr("payload", (F.col("at") + 1).cast("int"), whole.cast("int")).alias("coded"), chunk_tokens(F.col("inner"), F.col("chunk_idx")).alias("n_tokens"), F.col("inner.context_length_log2").alias("context_log2"), "uncompressed_len")
+    schema = T.StructType([*[df.schema[k] for k in keys], *T._parse_datatype_string("chunk_idx int, coded binary, n_tokens long, context_log2 long, uncompressed_len long").fields])
+    names = schema.fieldNames()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, raw in enumerate(b.column(len(keys)).to_pylist()):
+                box = Container.from_bytes(raw)
+                # the pieces of a long payload leave in batches of a bound size
+                for part in by_bytes(np.fromiter(map(len, box.chunks), np.int64, len(box.chunks)), PIECE_BYTES):
+                    at = range(part.start, part.stop)
+                    own = [b.column(k).take(pa.array([i] * len(at))) for k in range(len(keys))]
+                    made = [pa.array(at, pa.int32()), pa.array(box.chunks[part], pa.binary()), pa.array([box.chunk_tokens(k) for k in at], pa.int64())]
+                    made += [pa.array([v] * len(at), pa.int64()) for v in (box.context_log2, box.uncompressed_len)]
+                    yield pa.RecordBatch.from_arrays([*own, *made], names)
+
+    return df.select(*keys, F.col(container).alias("raw")).where("raw IS NOT NULL").mapInArrow(tidy(run), schema)

@@ -4,16 +4,25 @@ relational forms that join pieces to a vocabulary table."""
 from __future__ import annotations
 
 import bisect
+import heapq
 import json
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.session import ship_package
+from ..plans.session import ship_package, tidy
+from .buffers import by_bytes, flat_bytes, flat_lists, gathered, lists_of
 
+#: Pieces of more bytes than this are merged with a heap; shorter ones by looking at all pairs. Pieces that the memo keeps.
+HEAP_BYTES, MEMO_BYTES, MEMO_PIECES = 96, 64, 200_000
+#: Bytes of texts that are tokenised at once.
+BATCH_BYTES = 1 << 22
 #: A vocabulary above this many entries is joined by shuffle instead of being sent to all executors.
 BROADCAST_ENTRIES = 1_000_000
 
@@ -22,6 +31,22 @@ class UnknownToken(KeyError):
     """An id outside the vocabulary."""
 
 
+class _Memo(dict):
+    """Ids of pieces (text to ids); emptied when it is full, since later texts have other pieces."""
+
+    def __init__(self, vocab: Vocabulary) -> None:
+        self.vocab = vocab
+
+    def __missing__(self, piece: str) -> list[int]:
+        raw = piece.encode()
+        found = self.vocab.encode_piece(raw)
+        if len(raw) <= MEMO_BYTES:
+            if len(self) >= MEMO_PIECES:
+                self.clear()
+            self[piece] = found
+        return found
+
+
 @dataclass
 class Vocabulary:
     """Ranks of byte strings, special strings, and the pattern that parts text into pieces."""
@@ -40,7 +65,7 @@ class Vocabulary:
             raise ValueError("a special token shares its id")
         self.in_order = sorted(self.ranks)
         self._pieces = self._special = None
-        self._memo: dict[bytes, list[int]] = {}
+        self._memo = _Memo(self)
 
     def __getstate__(self) -> dict:
         return {k: getattr(self, k) for k in ("ranks", "specials", "pattern", "name")}
@@ -77,10 +102,14 @@ class Vocabulary:
             import regex
 
             self._pieces = regex.compile(self.pattern)
+        if not self._pieces.groups:
+            return self._pieces.findall(text)
         return [m.group() for m in self._pieces.finditer(text)]
 
     def merge(self, piece: bytes) -> list[bytes]:
         """Parts after joining the adjacent pair of least rank, leftmost first, until no pair has a rank."""
+        if len(piece) > HEAP_BYTES:
+            return self._merge_long(piece)
         parts = [piece[i : i + 1] for i in range(len(piece))]
         none = len(self.ranks) + (1 << 40)
         score = [self.ranks.get(a + b, none) for a, b in zip(parts, parts[1:])]
@@ -97,19 +126,43 @@ class Vocabulary:
                 score[i - 1] = self.ranks.get(parts[i - 1] + parts[i], none)
         return parts
 
+    def _merge_long(self, piece: bytes) -> list[bytes]:
+        """The same with a heap of pairs, so that a long piece without a boundary costs n log n."""
+        n = len(piece)
+        # a part is named by its first byte; stop is where it ends, and head finds it from its end
+        stop, head = list(range(1, n + 1)), list(range(-1, n))
+        heap: list[tuple[int, int, int, int]] = []
+
+        def offer(a: int) -> None:
+            b = stop[a]
+            if b < n and (rank := self.ranks.get(piece[a : stop[b]])) is not None:
+                heapq.heappush(heap, (rank, a, b, stop[b]))
+
+        for a in range(n - 1):
+            offer(a)
+        while heap:
+            _, a, b, c = heapq.heappop(heap)
+            # stale unless both parts are as they were
+            if stop[a] != b or stop[b] != c:
+                continue
+            stop[a], stop[b], head[c] = c, -1, a
+            offer(a)
+            if a:
+                offer(head[a])
+        out, a = [], 0
+        while a < n:
+            out.append(piece[a : stop[a]])
+            a = stop[a]
+        return out
+
     def encode_piece(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        found = self._memo.get(piece)
-        if found is None:
-            try:
-                found = [self.ranks[p] for p in self.merge(piece)]
-            except KeyError as e:
-                raise UnknownToken(f"no token for byte {e.args[0]!r}") from None
-            if len(piece) <= 64 and len(self._memo) < 200_000:
-                self._memo[piece] = found
-        return found
+        try:
+            return [self.ranks[p] for p in self.merge(piece)]
+        except KeyError as e:
+            raise UnknownToken(f"no token for byte {e.args[0]!r}") from None
 
     def split_piece(self, piece: bytes) -> list[bytes]:
         """A piece as the byte strings of its tokens."""
@@ -117,7 +170,7 @@ class Vocabulary:
 
     def encode_ordinary(self, text: str) -> list[int]:
         """Special strings are ordinary text."""
-        return [t for p in self.pieces(text) for t in self.encode_piece(p.encode())]
+        return list(chain.from_iterable(map(self._memo.__getitem__, self.pieces(text))))
 
     def special_spans(self, text: str, allowed: Iterable[str]) -> Iterator[tuple[str, str | None]]:
         """Stretches of ordinary text, each with the allowed special string that follows it."""
@@ -138,16 +191,17 @@ class Vocabulary:
         ids: list[int] = []
         last = 0
         for plain, special in self.special_spans(text, [s for s in allowed if s in self.specials]):
-            for p in self.pieces(plain):
-                found = self.encode_piece(p.encode())
-                last = len(found)
-                ids += found
+            pieces = self.pieces(plain)
+            ids.extend(chain.from_iterable(map(self._memo.__getitem__, pieces)))
+            last = len(self._memo[pieces[-1]]) if pieces else last
             if special is not None:
                 ids.append(self.specials[special])
                 last = 0
         return ids, last
 
     def encode_with_special_tokens(self, text: str) -> list[int]:
+        if not any(s in text for s in self.specials):
+            return self.encode_ordinary(text)
         return self.encode(text, self.specials)[0]
 
     # --- decoding --------------------------------------------------------------------------------
@@ -162,6 +216,14 @@ class Vocabulary:
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.token_bytes, ids))
 
+    def byte_table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All tokens' bytes on end, and by id where each starts and how long it is (-1: no such id)."""
+        every = self.of_id | self.special_of_id
+        size = np.full(max(every, default=-1) + 1, -1, np.int64)
+        size[list(every)] = [len(b) for b in every.values()]
+        start = np.cumsum(np.maximum(size, 0)) - np.maximum(size, 0)
+        return np.frombuffer(b"".join(every[i] for i in sorted(every)), np.uint8), start, size
+
     # --- unstable encoding -----------------------------------------------------------------------
 
     def starting_with(self, prefix: bytes) -> list[bytes]:
@@ -271,23 +333,45 @@ def tokenize(df: DataFrame, vocab: Vocabulary, text: str = "text", special: bool
     ship_package(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(vocab)
 
-    @F.pandas_udf("array<int>")
-    def run(s):
+    @F.arrow_udf("array<int>")
+    def run(s: pa.Array) -> pa.Array:
         v = sent.value
-        return s.map(lambda x: [] if x is None else v.encode_with_special_tokens(x) if special else v.encode_ordinary(x))
+        encode = v.encode_with_special_tokens if special else v.encode_ordinary
+        ids, offs = array("i"), [0]
+        for part in by_bytes(np.diff(flat_bytes(s)[1]), BATCH_BYTES):
+            for x in s[part.start : part.stop].to_pylist():
+                if x:
+                    ids.extend(encode(x))
+                offs.append(len(ids))
+        return lists_of(np.frombuffer(ids, np.int32) if len(ids) else np.zeros(0, np.int32), np.asarray(offs), pa.int32())
 
     return df.withColumn(output, run(F.col(text)))
 
 
+def token_bytes(tokens: Column, vocab: Vocabulary, spark: SparkSession) -> Column:
+    """Arrays of ids as the bytes of their tokens, row by row (null: none); unknown ids raise."""
+    ship_package(spark)
+    sent = spark.sparkContext.broadcast(vocab.byte_table())
+
+    @F.arrow_udf("binary")
+    def run(s: pa.Array) -> pa.Array:
+        data, start, size = sent.value
+        ids, offs = flat_lists(s)
+        wrong = (ids < 0) | (ids >= len(size))
+        wrong |= size[np.where(wrong, 0, ids)] < 0 if len(size) else True
+        if wrong.any():
+            raise UnknownToken(f"unknown token {ids[wrong][0]}")
+        n = size[ids] if len(ids) else np.zeros(0, np.int64)
+        out = data[gathered(start[ids], n)] if len(ids) else data[:0]
+        ends = np.concatenate([[0], np.cumsum(n)])[offs]
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(s), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(out.tobytes())]).cast(pa.binary())
+
+    return run(tokens)
+
+
 def detokenize(df: DataFrame, vocab: Vocabulary, keys: list[str], tokens: str = "tokens") -> DataFrame:
-    """keys and ``bytes``: tokens join the vocabulary table and are concatenated in order; unknown ids raise."""
-    table = vocabulary_table(df.sparkSession, vocab).select("token", "bytes")
-    rows = df.select(*keys, F.posexplode(F.col(tokens)).alias("pos", "token"))
-    found = rows.join(_small(table, len(vocab.ranks) + len(vocab.specials)), "token", "left")
-    known = F.when(F.col("bytes").isNotNull(), F.col("bytes")).otherwise(F.raise_error(F.concat(F.lit("unknown token "), F.col("token").cast("string"))).cast("binary"))
-    parts = found.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", known.alias("b")))).alias("p"))
-    hexed = F.array_join(F.transform("p", lambda s: F.hex(s.b)), "")
-    return df.select(*keys).join(parts.select(*keys, F.unhex(hexed).alias("bytes")), keys, "left").select(*keys, F.coalesce("bytes", F.lit(b"")).alias("bytes"))
+    """keys and ``bytes`` of the tokens in order, in place: nothing is joined or shuffled; unknown ids raise."""
+    return df.select(*keys, token_bytes(F.col(tokens), vocab, df.sparkSession).alias("bytes"))
 
 
 def unknown_tokens(df: DataFrame, vocab: Vocabulary, tokens: str = "tokens") -> DataFrame:
@@ -297,9 +381,35 @@ def unknown_tokens(df: DataFrame, vocab: Vocabulary, tokens: str = "tokens") ->
 
 
 def byte_tokens(text: Column) -> Column:
-    """A text as ids 0 to 255, one for each UTF-8 byte, with Spark functions only."""
-    raw = F.hex(F.encode(text, "UTF-8"))
-    return F.transform(F.regexp_extract_all(raw, F.lit("[0-9A-F]{2}"), F.lit(0)), lambda h: F.conv(h, 16, 10).cast("int"))
+    """A text as ids 0 to 255, one for each UTF-8 byte; null stays null. The Arrow buffer is the answer already."""
+
+    @F.arrow_udf("array<int>")
+    def run(s: pa.Array) -> pa.Array:
+        data, offs = flat_bytes(s)
+        return lists_of(data.astype(np.int32), offs, pa.int32(), s)
+
+    return run(text)
+
+
+def byte_counts(df: DataFrame, text: str = "text", by: str | None = None) -> DataFrame:
+    """(``by``,) byte and n: occurrences of each byte that occurs; a batch is counted before anything is shuffled."""
+    ship_package(df.sparkSession)
+    group = F.col(by) if by else F.lit(None).cast("string")
+    kind = dict(df.dtypes)[by] if by else "string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            codes = b.column(0).dictionary_encode()
+            data, offs = flat_bytes(b.column(1))
+            place = np.asarray(codes.indices.fill_null(len(codes.dictionary)), np.int64)
+            n = np.bincount(np.repeat(place, np.diff(offs)) * 256 + data)
+            seen = np.flatnonzero(n)
+            own = codes.dictionary.take(pa.array(seen >> 8, mask=(seen >> 8) == len(codes.dictionary)))
+            yield pa.RecordBatch.from_arrays([own, pa.array((seen & 255).astype(np.int32)), pa.array(n[seen])], ["by", "byte", "n"])
+
+    parts = df.select(group.alias("by"), F.col(text).alias("text")).mapInArrow(tidy(run), f"by {kind}, byte int, n long")
+    sums = parts.groupBy("by", "byte").agg(F.sum("n").alias("n"))
+    return sums.withColumnRenamed("by", by) if by else sums.select("byte", "n")
 
 
 def unstable_completions(df: DataFrame, vocab: Vocabulary, text: str = "text", special: bool = True) -> DataFrame:

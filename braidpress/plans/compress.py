@@ -18,7 +18,7 @@ from ..operators import container as box
 from ..operators.chunking import BOS, chunk, level_context, reassemble, to_log2
 from ..operators.coder import Decoder, Encoder, batches_of, decode_symbols, encode_symbols, encode_with_tables
 from ..operators.kernels import Runner, Weights
-from ..operators.vocabulary import Vocabulary, byte_tokens, tokenize
+from ..operators.vocabulary import Vocabulary, byte_counts, tokenize, token_bytes
 from ..sources.model import vocabulary_of
 from .session import ship_package, spread
 
@@ -96,7 +96,9 @@ def coded_chunks(chunks: DataFrame, w: Weights, keys: list[str]) -> DataFrame:
         for whole in batches:
             for b in batches_of(whole, 512):
                 at = b.schema.get_field_index("chunk")
-                coded = encode_chunks(sent.value, b.column(at).to_pylist())
+                chunks = b.column(at).to_pylist()
+                found = iter(encode_chunks(sent.value, [c for c in chunks if c is not None]))
+                coded = [None if c is None else next(found) for c in chunks]
                 yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in kept], pa.array(coded, pa.binary())], [*kept, "coded"])
 
     # chunks of a text spread over all tasks before the costly step
@@ -110,9 +112,9 @@ def compress_documents(df: DataFrame, w: Weights, key: str = "doc_id", text: str
     log2 = to_log2(size)
     src = df.select(F.col(key).alias(key), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = tokenize(src, vocab).select(key, F.octet_length("text").cast("bigint").alias("n_bytes"), "tokens")
-    pieces = coded_chunks(chunk(rows, "tokens", size), w, [key])
-    bare = rows.where(F.size("tokens") == 0).select(key, "n_bytes", F.lit(None).cast("int").alias("chunk_idx"), F.lit(0).alias("n_tokens"), F.lit(None).cast("binary").alias("coded"))
-    return box.assemble(pieces.select(key, "n_bytes", "chunk_idx", "n_tokens", "coded").union(bare), [key], log2=log2, codec=codec, level=codec_level)
+    # a text without tokens keeps one row, without a chunk
+    pieces = coded_chunks(chunk(rows, "tokens", size, outer=True), w, [key])
+    return box.assemble(pieces.select(key, "n_bytes", "chunk_idx", "n_tokens", "coded"), [key], log2=log2, codec=codec, level=codec_level)
 
 
 def decompress_documents(df: DataFrame, w: Weights, key: str = "doc_id", container: str = "container", vocab: Vocabulary | None = None) -> DataFrame:
@@ -120,7 +122,7 @@ def decompress_documents(df: DataFrame, w: Weights, key: str = "doc_id", contain
     spark = df.sparkSession
     ship_package(spark)
     vocab = vocab or vocabulary_of(w)
-    sent, words = _send(spark, w), spark.sparkContext.broadcast(vocab)
+    sent = _send(spark, w)
     kind = dict(df.dtypes)[key]
     pieces = box.split_chunks(df, [key], container).select(key, "chunk_idx", "n_tokens", "coded")
 
@@ -132,11 +134,8 @@ def decompress_documents(df: DataFrame, w: Weights, key: str = "doc_id", contain
 
     tokens = reassemble(spread(pieces, key, "chunk_idx").mapInArrow(run, f"`{key}` {kind}, chunk_idx int, ids array<int>"), [key], "chunk_idx", "ids", "ids")
 
-    @F.pandas_udf("string")
-    def text_of(s):
-        return s.map(lambda ids: words.value.decode_bytes(ids).decode())
-
-    return df.select(key).join(tokens, key, "left").select(key, F.coalesce(text_of(F.coalesce("ids", F.array().cast("array<int>"))), F.lit("")).alias("text"))
+    texts = F.decode(token_bytes(F.coalesce("ids", F.array().cast("array<int>")), vocab, spark), "UTF-8")
+    return df.select(key).join(tokens, key, "left").select(key, F.coalesce(texts, F.lit("")).alias("text"))
 
 
 def compression_report(compressed: DataFrame, by: list[str]) -> DataFrame:
@@ -158,7 +157,7 @@ def compression_report(compressed: DataFrame, by: list[str]) -> DataFrame:
 
 def byte_frequencies(df: DataFrame, text: str = "text") -> DataFrame:
     """byte, n: counts over all texts; partial counts are made before the shuffle."""
-    rows = df.select(F.explode(byte_tokens(F.coalesce(F.col(text), F.lit("")))).alias("byte")).groupBy("byte").agg(F.count("*").alias("n"))
+    rows = byte_counts(df, text)
     every = df.sparkSession.range(256).select(F.col("id").cast("int").alias("byte"))
     return every.join(rows, "byte", "left").select("byte", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
 

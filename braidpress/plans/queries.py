@@ -195,6 +195,7 @@ S_BYTES = """b AS (SELECT doc_id, pos, CAST('0x' || substr(h, CAST(pos AS INTEGE
 
 
 def byte_rows(spark, sf_dir) -> DataFrame:
+    ship_package(spark)
     return table(spark, sf_dir, "documents").select("doc_id", V.byte_tokens(F.col("text")).alias("tokens"))
 
 
@@ -224,8 +225,8 @@ def chunk_table(spark, sf_dir):
     SELECT doc_id, CAST(pos // 64 AS INTEGER) AS chunk_idx, CAST(sum(prev * (pos % 64 + 1)) AS BIGINT) AS weighted FROM p GROUP BY doc_id, pos // 64"""
 )
 def prev_token(spark, sf_dir):
-    p = chunking.previous_tokens(chunking.positions(byte_rows(spark, sf_dir)), ["doc_id"])
-    return p.groupBy("doc_id", "chunk_idx").agg(F.sum(F.col("prev").cast("bigint") * (F.col("chunk_pos") + 1)).alias("weighted"))
+    p = chunking.previous_tokens(chunking.chunk(byte_rows(spark, sf_dir), "tokens", 64))
+    return p.select("doc_id", "chunk_idx", A.total(F.transform("prev", lambda x, i: x.cast("bigint") * (i + 1))).alias("weighted"))
 
 
 @query(
@@ -271,7 +272,7 @@ def piece_vocab_hit(spark, sf_dir):
 
 @query("SELECT doc_id, text FROM documents")
 def bpe_roundtrip(spark, sf_dir):
-    """Pre-split and merged by workers; decoded by joining the vocabulary."""
+    """Pre-split and merged by workers, and decoded by gathering the tokens' bytes."""
     v = files.small_vocabulary()
     tokens = V.tokenize(table(spark, sf_dir, "documents").select("doc_id", "text"), v).select("doc_id", "tokens")
     return V.detokenize(tokens, v, ["doc_id"]).select("doc_id", F.decode("bytes", "UTF-8").alias("text"))
@@ -324,8 +325,7 @@ def text_sizes(spark, sf_dir):
     SELECT lang, token, freq, CAST(sum(freq) OVER (PARTITION BY lang ORDER BY token) AS BIGINT) AS cum FROM f"""
 )
 def freq_cdf(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("lang", F.explode(V.byte_tokens(F.col("text"))).alias("token"))
-    f = rows.groupBy("lang", "token").agg(F.count("*").alias("freq"))
+    f = V.byte_counts(table(spark, sf_dir, "documents"), "text", "lang").select("lang", F.col("byte").alias("token"), F.col("n").alias("freq"))
     return f.withColumn("cum", F.sum("freq").over(Window.partitionBy("lang").orderBy("token").rowsBetween(Window.unboundedPreceding, 0)))
 
 
@@ -499,9 +499,9 @@ def attn_fold(spark, sf_dir):
 
 @query("SELECT doc_id, CAST(sum(b.token * 31 % 97) AS BIGINT) AS total FROM (WITH " + S_BYTES + " SELECT * FROM b) b GROUP BY doc_id")
 def embedding_lookup(spark, sf_dir):
-    embedding = spark.range(256).select(F.col("id").cast("int").alias("token"), (F.col("id") * 31 % 97).alias("value"))
-    tokens = chunking.positions(byte_rows(spark, sf_dir))
-    return attention.embedding_lookup(tokens, F.broadcast(embedding)).groupBy("doc_id").agg(F.sum("value").alias("total"))
+    ship_package(spark)
+    rows = byte_rows(spark, sf_dir).where(F.size("tokens") > 0)
+    return rows.select("doc_id", A.total(attention.embedding_gather(F.col("tokens"), np.arange(256) * 31 % 97)).alias("total"))
 
 
 # --- containers --------------------------------------------------------------------------------------
