@@ -129,23 +129,31 @@ f AS (
 SELECT p.page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM p LEFT JOIN f ON p.page_id = f.page_id
 """
 
-OP3_SQL = """
-WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
-p AS (SELECT doc_id, n, unnest(range(n)) AS i, h FROM d),
-k AS (SELECT doc_id, n, i, substr(h, CAST(2 * i + 1 AS INTEGER), 2) AS b, CASE WHEN i + 400 <= n THEN md5(substr(h, CAST(2 * i + 1 AS INTEGER), 800)) END AS w FROM p),
-t AS (SELECT w FROM k WHERE w IS NOT NULL GROUP BY w HAVING count(*) > 1),
-c AS (
-  SELECT doc_id, n, i, b, max(CASE WHEN t.w IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 399 PRECEDING AND CURRENT ROW) AS gone
-  FROM k LEFT JOIN t ON k.w = t.w),
-e AS (SELECT *, gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), 0) = 0 AS opens FROM c),
+def op3_sql() -> str:
+    """Windows as 64-bit hashes; a byte goes where a repeated window starts less than a window before it."""
+    long, short, reach = suffix_dedup.LENGTH, suffix_dedup.PASSAGE, 512
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+c AS (SELECT r, n, c, substr(h, CAST(2 * c + 1 AS INTEGER), {2 * (reach + long - 1)}) AS s FROM (SELECT r, n, h, unnest(range(0, n, {reach})) AS c FROM d) x),
+p AS (
+  SELECT r, c + j AS i, substr(s, CAST(2 * j + 1 AS INTEGER), 2) AS b, CASE WHEN c + j + {long} <= n THEN hash(substr(s, CAST(2 * j + 1 AS INTEGER), {2 * long})) END AS w, CASE WHEN c + j + {short} <= n THEN hash(substr(s, CAST(2 * j + 1 AS INTEGER), {2 * short})) END AS v
+  FROM (SELECT *, unnest(range(least({reach}, n - c))) AS j FROM c) x),
+tw AS (SELECT w FROM p WHERE w IS NOT NULL GROUP BY w HAVING count(*) > 1),
+tv AS (SELECT v FROM p WHERE v IS NOT NULL GROUP BY v HAVING count(*) > 1),
+k AS (SELECT r, i, b, CASE WHEN tw.w IS NOT NULL THEN i END AS w, CASE WHEN tv.v IS NOT NULL THEN i END AS v, b NOT IN ('20', '09', '0A', '0B', '0C', '0D') AS solid FROM p LEFT JOIN tw ON p.w = tw.w LEFT JOIN tv ON p.v = tv.v),
 g AS (
-  SELECT doc_id, CAST(sum(gone) AS BIGINT) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans,
-         sha256(unhex(coalesce(string_agg(b, '' ORDER BY i) FILTER (WHERE gone = 0), ''))) AS kept_sha256
-  FROM e GROUP BY doc_id)
-SELECT d.doc_id, d.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, coalesce(kept_sha256, sha256('')) AS kept_sha256
-FROM d LEFT JOIN g ON d.doc_id = g.doc_id
+  SELECT r, i, b, solid, coalesce(i - max(w) OVER o < {long}, FALSE) AS gone, coalesce(i - max(v) OVER o < {short}, FALSE) AS twice, solid AND NOT coalesce(lag(solid) OVER o, FALSE) AS starts
+  FROM k WINDOW o AS (PARTITION BY r ORDER BY i)),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER o, FALSE) AS opens, twice AND NOT coalesce(lag(twice) OVER o, FALSE) AS begins FROM g WINDOW o AS (PARTITION BY r ORDER BY i)),
+f AS (SELECT *, sum(CASE WHEN begins THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS run FROM e),
+runs AS (SELECT r, run, count(*) AS size FROM f WHERE twice GROUP BY r, run HAVING count(*) FILTER (WHERE starts OR (begins AND solid)) >= {suffix_dedup.PASSAGE_WORDS}),
+x AS (SELECT r, count(*) AS n_passages, CAST(sum(size) AS BIGINT) AS passage_bytes FROM runs GROUP BY r),
+y AS (SELECT r, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans, sha256(unhex(coalesce(string_agg(b, '' ORDER BY i) FILTER (WHERE NOT gone), ''))) AS kept_sha256 FROM f GROUP BY r)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, coalesce(kept_sha256, sha256('')) AS kept_sha256, coalesce(n_passages, 0) AS n_passages, coalesce(passage_bytes, 0) AS passage_bytes
+FROM d LEFT JOIN y ON d.r = y.r LEFT JOIN x ON d.r = x.r
 """
 
+
 OP5_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
@@ -197,7 +205,7 @@ FROM b LEFT JOIN far ON b.doc_id = far.doc_id
 
 
 SQL: dict[str, str] = {
-    "op3_suffix_dedup": OP3_SQL,
+    "op3_suffix_dedup": op3_sql(),
     "op4_chat": OP4_SQL,
     "op5_minhash": OP5_SQL,
     "op6_url_rules": OP6_SQL,
