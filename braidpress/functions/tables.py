@@ -97,6 +97,12 @@ def _exp_by_step() -> np.ndarray:
     return out
 
 
+def exp_by_float(drop: np.ndarray, coef: int) -> np.ndarray:
+    """:func:`exp_q16` of -drop, for whole numbers drop >= 0 in float64 whose product with coef is exact; as float64."""
+    step = np.minimum(np.floor((drop * coef + (1 << 23)) * 2.0**-24), 31 * 256)
+    return _exp_by_step().astype(np.float64)[step.astype(np.int32)]
+
+
 def exp_q16_values(diff: np.ndarray, coef: int) -> np.ndarray:
     """:func:`exp_q16` over int64 arrays."""
     step = (-diff * coef + (1 << 23)) >> 24

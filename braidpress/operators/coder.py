@@ -133,14 +133,45 @@ def decode_column(data: Column, table: Column, n: Column) -> Column:
     return run(data, table, n)
 
 
-def encode_with_tables(tables: np.ndarray, symbols: Sequence[int], coder: Encoder) -> None:
-    """Feed symbols, each under the table of its own row."""
-    at = np.arange(len(symbols))
-    s = np.asarray(symbols)
-    upto = tables[at, s].tolist()
-    below = np.where(s > 0, tables[at, s - 1], 0).tolist()
-    for b, u, t in zip(below, upto, tables[:, -1].tolist()):
-        coder.encode(b, u, t)
+def encode_spans(below: list[int], upto: list[int], total: int) -> bytes:
+    """Coded bytes of symbols given as spans of one total: :class:`Encoder`'s arithmetic in one loop.
+
+    All leading bits that low and high share leave at once, and so do all straddled ones.
+    """
+    low, high, straddled = 0, TOP, 0
+    value, bits, out = 0, 0, bytearray()
+    for b, u in zip(below, upto):
+        span = high - low + 1
+        high = low + span * u // total - 1
+        low += span * b // total
+        n = 32 - (low ^ high).bit_length()
+        if n:
+            top = low >> (32 - n)
+            if straddled:
+                # the first bit, as many opposite bits, and the rest
+                first = top >> (n - 1)
+                value = (((value << 1) | first) << straddled) | (0 if first else (1 << straddled) - 1)
+                value = (value << (n - 1)) | (top & ((1 << (n - 1)) - 1))
+                bits += straddled + n
+                straddled = 0
+            else:
+                value = (value << n) | top
+                bits += n
+            low = (low << n) & TOP
+            high = ((high << n) & TOP) | ((1 << n) - 1)
+            if bits >= 256:
+                spare = bits & 7
+                out += (value >> spare).to_bytes(bits >> 3, "big")
+                value &= (1 << spare) - 1
+                bits = spare
+        # low begins 01..., high 10...: as many bits straddle as low's ones and high's zeros go on after the first
+        while low >= QUARTER and high < HALF + QUARTER:
+            straddled += 1
+            low = (low - QUARTER) << 1
+            high = ((high - QUARTER) << 1) | 1
+    value, bits = (value << 1) | 1, bits + 1
+    pad = -bits % 8
+    return bytes(out) + (value << pad).to_bytes((bits + pad) >> 3, "big")
 
 
 def batches_of(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:

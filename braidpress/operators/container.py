@@ -266,10 +266,10 @@ def decompress_payload(data: Column, codec: Column) -> Column:
     return run(data, codec)
 
 
-def assemble(chunks: DataFrame, keys: list[str], model: int = 0, tokenizer: int = 0, log2: int = 6, flags: int = 0, codec: str = "zstd", level: int | None = None) -> DataFrame:
+def assemble(chunks: DataFrame, keys: list[str], model: int = 0, tokenizer: int = 0, log2: int = 6, flags: int = 0, codec: str = "zstd", level: int | None = None, compressed: bool = True) -> DataFrame:
     """Containers from chunk rows (keys, chunk_idx, n_tokens, coded, n_bytes): keys, container, n_chunks, n_tokens, payload_bytes.
 
-    Rows with a null chunk_idx stand for texts without tokens.
+    Rows with a null chunk_idx stand for texts without tokens. Without ``compressed`` the payload stays as it is.
     """
     ship_package(chunks.sparkSession)
     rows = chunks.groupBy(*keys).agg(
@@ -282,7 +282,7 @@ def assemble(chunks: DataFrame, keys: list[str], model: int = 0, tokenizer: int
     built = rows.select(*keys, "n_tokens", "n_bytes", F.size("c").cast("bigint").alias("n_chunks"), F.concat(inner, body).alias("payload"))
     fits = F.when(F.col("n_bytes") <= MAX_LENGTH, F.col("n_bytes")).otherwise(F.raise_error(F.lit("texts of 4 GiB or more do not fit the header")).cast("bigint"))
     outer = pack_outer(F.lit(flags), F.lit(codec_id(codec)), fits, inner_size(F.col("n_chunks")))
-    return built.select(*keys, F.concat(outer, compress_payload(F.col("payload"), codec, level)).alias("container"), "n_chunks", "n_tokens", "n_bytes", F.octet_length("payload").cast("bigint").alias("payload_bytes"))
+    return built.select(*keys, F.concat(outer, compress_payload(F.col("payload"), codec, level) if compressed else F.col("payload")).alias("container"), "n_chunks", "n_tokens", "n_bytes", F.octet_length("payload").cast("bigint").alias("payload_bytes"))
 
 
 def split_chunks(df: DataFrame, keys: list[str], container: str = "container") -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tables import SOFTMAX_COEF, exp_q16, exp_q16_values
+from ..functions.tables import SOFTMAX_COEF, exp_by_float, exp_q16
 
 
 def target_total(vocab: int) -> int:
@@ -63,16 +63,41 @@ def cumulative_array(logits: Column, coef: int = SOFTMAX_COEF) -> Column:
     return F.transform(F.array(F.transform(F.array(F.transform(logits, lambda v: v.cast("bigint"))), freqs)[0]), sums)[0]
 
 
-def cumulative_values(logits: np.ndarray, coef: int = SOFTMAX_COEF, total: int | None = None) -> np.ndarray:
-    """Inclusive tables of a (rows, vocab) array of integer logits, int64."""
-    x = np.asarray(logits, np.int64)
+#: Logits times the coefficient, and frequencies times an exponential, are exact in float64 below this.
+EXACT = 1 << 52
+
+
+def frequencies(logits: np.ndarray, coef: int = SOFTMAX_COEF, total: int | None = None) -> tuple[np.ndarray, int]:
+    """Frequencies of a (rows, vocab) array of integer logits, whole numbers in float64, and their total.
+
+    An exponential e times (total - vocab) stays below 2**47, and a quotient by the sum S of exponentials is
+    rounded by less than 2**-6 / S, while one that is not whole is at least 1 / S from the next whole number: so
+    its floor is the integer quotient.
+    """
+    x = np.asarray(logits, np.float64)
     vocab = x.shape[1]
     total = target_total(vocab) if total is None else total
-    e = exp_q16_values(x - x.max(axis=1, keepdims=True), coef)
-    freq = 1 + e * (total - vocab) // e.sum(axis=1, keepdims=True)
-    best = x.argmax(axis=1)
-    freq[np.arange(len(x)), best] += total - freq.sum(axis=1)
-    return np.cumsum(freq, axis=1)
+    diff = x.max(axis=1, keepdims=True) - x
+    if coef * float(diff.max(initial=0)) >= EXACT or total > 1 << 31:
+        raise OverflowError("logits or totals beyond what float64 holds exactly")
+    e = exp_by_float(diff, coef)
+    freq = np.floor(e * (total - vocab) / e.sum(axis=1, keepdims=True)) + 1
+    freq[np.arange(len(x)), x.argmax(axis=1)] += total - freq.sum(axis=1)
+    return freq, total
+
+
+def cumulative_values(logits: np.ndarray, coef: int = SOFTMAX_COEF, total: int | None = None) -> np.ndarray:
+    """Inclusive tables of a (rows, vocab) array of integer logits, int64."""
+    return np.cumsum(frequencies(logits, coef, total)[0], axis=1).astype(np.int64)
+
+
+def symbol_spans(logits: np.ndarray, symbols: np.ndarray, coef: int = SOFTMAX_COEF, total: int | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """For each row and its symbol the sums of frequencies below and up to it, and the total of all tables."""
+    freq, total = frequencies(logits, coef, total)
+    rows = np.arange(len(freq))
+    own = freq[rows, symbols]
+    upto = np.cumsum(freq, axis=1)[rows, symbols]
+    return (upto - own).astype(np.int64), upto.astype(np.int64), total
 
 
 def softmax_cumulative(df: DataFrame, row: str = "row_id", token: str = "token", logit: str = "logit", scale: float = 1.0) -> DataFrame:

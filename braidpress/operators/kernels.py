@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 import numpy as np
 
 from ..functions.tables import ATTENTION_COEF, SOFTMAX_COEF, exp_q16_values
-from .distribution import cumulative_values
+from .distribution import cumulative_values, symbol_spans
 
 HEAD_DIM = 64
 #: A float32 product sum is exact below 2**24, that is up to this many terms of two 8-bit factors.
@@ -31,17 +31,26 @@ def rne(x: np.ndarray, shift: int) -> np.ndarray:
 
 
 def clamp8(x: np.ndarray) -> np.ndarray:
-    return np.clip(x, -127, 127)
+    return np.minimum(np.maximum(x, -127), 127)
 
 
 def clamp32(x: np.ndarray) -> np.ndarray:
-    return np.clip(x, -(1 << 31), (1 << 31) - 1)
+    return np.minimum(np.maximum(x, -(1 << 31)), (1 << 31) - 1)
+
+
+def float_matrix(w: np.ndarray) -> np.ndarray:
+    """The transpose of an 8-bit matrix in a floating type whose product sums are exact."""
+    return np.ascontiguousarray(w.T, np.float32 if w.shape[1] <= EXACT_TERMS else np.float64)
 
 
 def gemm(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     """x @ w.T of 8-bit values, exactly, as int64."""
-    kind = np.float32 if w.shape[1] <= EXACT_TERMS else np.float64
-    return (x.astype(kind) @ w.T.astype(kind)).astype(np.int64)
+    return product(x, float_matrix(w)).astype(np.int64)
+
+
+def product(x: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """x times a :func:`float_matrix`: whole numbers in its floating type."""
+    return (x.reshape(-1, x.shape[-1]).astype(table.dtype) @ table).reshape(*x.shape[:-1], table.shape[1])
 
 
 def requantize(x: np.ndarray, mult: int, shift: int) -> np.ndarray:
@@ -178,6 +187,12 @@ class Layer:
     sink_key: np.ndarray | None = None
     extra: dict = field(default_factory=dict)
 
+    def times(self, x: np.ndarray, name: str) -> np.ndarray:
+        """x through the matrix of a name, requantised; the floating form of the matrix is made once."""
+        if name not in self.extra:
+            self.extra[name] = float_matrix(getattr(self, name))
+        return requantize(product(x, self.extra[name]).astype(np.int64), *self.scales[name])
+
 
 @dataclass
 class Weights:
@@ -191,6 +206,12 @@ class Weights:
     coef: int = SOFTMAX_COEF
     total: int | None = None
     tokenizer: bytes | None = None
+    extra: dict = field(default_factory=dict)
+
+    def logits(self, x: np.ndarray) -> np.ndarray:
+        if "head" not in self.extra:
+            self.extra["head"] = float_matrix(self.head)
+        return product(x, self.extra["head"])
 
     @property
     def vocab(self) -> int:
@@ -210,28 +231,34 @@ class Runner:
         self.values = [np.zeros((chunks, length, HEAD_DIM), np.int64) for _ in w.layers]
 
     def forward(self, tokens: np.ndarray, first: int = 0) -> np.ndarray:
-        """Logits (chunk, position, vocabulary) for tokens (chunk, position) at positions from ``first`` on."""
+        """Logits (chunk, position, vocabulary), whole numbers of a floating type, for tokens (chunk, position) at positions from ``first`` on."""
         w = self.w
         chunks, n = tokens.shape
         d, heads = w.width, w.width // HEAD_DIM
         cos, sin = w.cos[first : first + n], w.sin[first : first + n]
         x = w.embed[tokens].astype(np.int64)
         for i, layer in enumerate(w.layers):
-            qkv = requantize(gemm(rms_norm(clamp8(x), layer.attn_norm), layer.qkv), *layer.scales["qkv"])
+            qkv = layer.times(rms_norm(clamp8(x), layer.attn_norm), "qkv")
             q = qkv[..., :d].reshape(chunks, n, heads, HEAD_DIM).transpose(0, 2, 1, 3)
             self.keys[i][:, first : first + n] = rotate(qkv[..., d : d + HEAD_DIM], cos, sin, 0)
             self.values[i][:, first : first + n] = qkv[..., d + HEAD_DIM : d + 2 * HEAD_DIM]
             a = attend(rotate(q, cos, sin, 1), self.keys[i][:, : first + n], self.values[i][:, : first + n], layer.score_mult, first, layer.sink_key)
             a = a.transpose(0, 2, 1, 3).reshape(chunks, n, d)
-            x = x + rms_norm(requantize(gemm(a, layer.out), *layer.scales["out"]), layer.ffn_norm)
-            up = requantize(gemm(rms_norm(clamp8(x), layer.post_attn_norm), layer.up), *layer.scales["up"])
+            x = x + rms_norm(layer.times(a, "out"), layer.ffn_norm)
+            up = layer.times(rms_norm(clamp8(x), layer.post_attn_norm), "up")
             half = up.shape[-1] // 2
-            down = requantize(gemm(reglu(up[..., :half], up[..., half:]), layer.down), *layer.scales["down"])
+            down = layer.times(reglu(up[..., :half], up[..., half:]), "down")
             x = x + rms_norm(down, layer.post_ffn_norm)
-        return gemm(rms_norm(clamp8(x), w.norm), w.head)
+        return w.logits(rms_norm(clamp8(x), w.norm))
 
     def tables(self, tokens: np.ndarray, first: int = 0) -> np.ndarray:
         """Inclusive cumulative tables (chunk, position, vocabulary)."""
         logits = self.forward(tokens, first)
         flat = cumulative_values(logits.reshape(-1, logits.shape[-1]), self.w.coef, self.w.total)
         return flat.reshape(logits.shape)
+
+    def spans(self, tokens: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """What an encoder needs of the tables: sums below and up to each symbol (chunk, position), and the total."""
+        logits = self.forward(tokens)
+        below, upto, total = symbol_spans(logits.reshape(-1, logits.shape[-1]), symbols.ravel(), self.w.coef, self.w.total)
+        return below.reshape(symbols.shape), upto.reshape(symbols.shape), total

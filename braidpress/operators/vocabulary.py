@@ -374,6 +374,13 @@ def detokenize(df: DataFrame, vocab: Vocabulary, keys: list[str], tokens: str =
     return df.select(*keys, token_bytes(F.col(tokens), vocab, df.sparkSession).alias("bytes"))
 
 
+def starting_with(prefixes: DataFrame, vocab: Vocabulary, column: str = "prefix") -> DataFrame:
+    """The rows of ``prefixes`` with each ``token`` whose bytes start with the prefix: joined on the first byte, then told apart."""
+    table = vocabulary_table(prefixes.sparkSession, vocab).where(~F.col("is_special")).select("token", "bytes", F.hex(F.substring("bytes", 1, 1)).alias("first"))
+    rows = prefixes.withColumn("raw", F.col(column).cast("binary")).withColumn("first", F.hex(F.substring("raw", 1, 1)))
+    return rows.join(_small(table, len(vocab.ranks)), "first").where(F.startswith("bytes", "raw")).drop("first", "raw", "bytes")
+
+
 def unknown_tokens(df: DataFrame, vocab: Vocabulary, tokens: str = "tokens") -> DataFrame:
     """Distinct ids that the vocabulary lacks."""
     table = vocabulary_table(df.sparkSession, vocab).select("token")

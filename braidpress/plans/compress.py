@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..operators import container as box
 from ..operators.chunking import BOS, chunk, level_context, reassemble, to_log2
-from ..operators.coder import Decoder, Encoder, batches_of, decode_symbols, encode_symbols, encode_with_tables
+from ..operators.coder import Decoder, batches_of, decode_symbols, encode_spans, encode_symbols
 from ..operators.kernels import Runner, Weights
 from ..operators.vocabulary import Vocabulary, byte_counts, tokenize, token_bytes
 from ..sources.model import vocabulary_of
@@ -48,15 +48,14 @@ def encode_chunks(w: Weights, chunks: list[list[int]], bos: int = BOS) -> list[b
         longest = len(chunks[order[min(at + max(1, BATCH_POSITIONS // max(len(chunks[order[at]]), 1)), len(order)) - 1]])
         part = order[at : at + max(1, BATCH_POSITIONS // max(longest, 1))]
         n = max(len(chunks[i]) for i in part)
-        inputs = np.full((len(part), n), bos)
+        symbols = np.zeros((len(part), n), np.int64)
         for k, i in enumerate(part):
-            inputs[k, 1 : len(chunks[i])] = chunks[i][:-1]
-        tables = Runner(w, len(part), n).tables(inputs) if n else None
+            symbols[k, : len(chunks[i])] = chunks[i]
+        inputs = np.concatenate([np.full((len(part), min(n, 1)), bos), symbols[:, :-1]], axis=1)
+        below, upto, total = Runner(w, len(part), n).spans(inputs, symbols) if n else (symbols, symbols, 1)
         for k, i in enumerate(part):
-            e = Encoder()
-            if chunks[i]:
-                encode_with_tables(tables[k], chunks[i], e)
-            out[i] = e.finish()
+            size = len(chunks[i])
+            out[i] = encode_spans(below[k, :size].tolist(), upto[k, :size].tolist(), total)
         at += len(part)
     return out
 

@@ -15,7 +15,6 @@ from ..functions import integer as I
 from ..functions import tables as L
 from ..operators import attention, chunking, container, distribution
 from ..operators import vocabulary as V
-from ..operators.kernels import attend
 from ..sources import model as files
 from ..streaming.compress import compress_stream, decompress_stream
 from . import compress as C
@@ -478,25 +477,6 @@ def attn_scores(spark, sf_dir):
     return causal(spark, sf_dir).select("g", "pos", "t", "score")
 
 
-@query("SELECT vec_id // 16 AS g, vec_id % 16 AS pos, TRUE AS same FROM embeddings")
-def attn_fold(spark, sf_dir):
-    """The ordered fold as array expressions against the vectorised kernel."""
-    ship_package(spark)
-    rows = causal(spark, sf_dir).groupBy("g", "pos").agg(F.max("q").alias("q"), F.collect_list(F.struct("t", "score", "v")).alias("steps"))
-    out = rows.select("g", "pos", "q", attention.fold(F.col("steps")).alias("y"), F.transform(F.sort_array("steps"), lambda s: s.v).alias("vs"))
-
-    def same(batches):
-        for b in batches:
-            found = []
-            for q, vs, y in zip(b["q"], b["vs"], b["y"]):
-                kv = np.stack([np.asarray(x) for x in vs]).astype(np.int64)[None]
-                own = attend(np.asarray(q, np.int64)[None, None, None], kv, kv, np.array([20000]), kv.shape[1] - 1, None)
-                found.append(own[0, 0, 0].tolist() == list(y))
-            yield pd.DataFrame({"g": b["g"], "pos": b["pos"], "same": found})
-
-    return out.select("g", "pos", "q", "vs", "y").mapInPandas(same, "g long, pos long, same boolean")
-
-
 @query("SELECT doc_id, CAST(sum(b.token * 31 % 97) AS BIGINT) AS total FROM (WITH " + S_BYTES + " SELECT * FROM b) b GROUP BY doc_id")
 def embedding_lookup(spark, sf_dir):
     ship_package(spark)
@@ -580,14 +560,6 @@ def model_roundtrip_conversations(spark, sf_dir):
     return C.decompress_documents(boxes, w, "turn_id")
 
 
-@query()
-def compression_report(spark, sf_dir):
-    """Sizes by length class of the benchmark's items."""
-    items = table(spark, sf_dir, "benchmark").withColumn("long", F.length("text") > 200)
-    boxes = C.compress_documents(items, files.fixture(), "item_id", level=2)
-    return C.compression_report(boxes.join(items.select("item_id", "long"), "item_id"), ["long"])
-
-
 @query("SELECT item_id, text FROM benchmark")
 def stream_roundtrip(spark, sf_dir):
     """Compressed and decompressed as a stream over the files, run until all that is there is done."""
@@ -614,3 +586,6 @@ def tensor_scan(spark, sf_dir):
 
     rows = raw.select(F.explode(parts("content")).alias("t")).select("t.*")
     return rows.agg((F.count("*") + 1).alias("tensors"), F.sum("elements").alias("elements"))
+
+
+from . import audits  # noqa: E402, F401 (registers more queries)
