@@ -1,10 +1,12 @@
 """Byte-level BPE encoding and decoding by forced-boundary splitting.
 
 A byte pair that occurs inside no vocabulary token can never be joined by a merge, so the place between
-the two bytes is a certain cut. Where the right byte is a space after a non-space, the pre-tokenizer also
-always ends a match there: text on either side is encoded independently and the ids are concatenated.
+the two bytes is a certain cut, provided that the pre-tokenizer reads both sides alike when they stand alone:
+text on either side is encoded independently and the ids are concatenated. Texts are cut before spaces that
+follow no white space, since no token has such a pair. What is long even so (text without spaces, such as code,
+addresses or Chinese) is cut at every forced pair of the table, so that fragments stay short whatever the text.
 Fragments repeat heavily, so each worker keeps a bounded memo of fragment -> packed ids, and only
-fragments that are not in it reach the tokenizers library.
+fragments that are not in it are encoded.
 
 Results by case: null text is encoded as the empty text (no ids); empty text has no ids and decodes to
 the empty text; a text of any length is cut into fragments and never truncated; every input row gives one
@@ -32,6 +34,8 @@ from ..plans.session import ship_package, tidy
 #: Fragments kept in a worker's memo, and the longest fragment that is kept.
 MEMO_FRAGMENTS = 150_000
 MEMO_CHARS = 48
+#: Characters from which a fragment is cut at all its forced pairs.
+FINE_CHARS = 24
 
 _SPACED = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S)(?= )")
@@ -80,6 +84,10 @@ class FragmentCodec:
         # the cut used everywhere: before a space that follows a byte of no white space
         solid = [b for b in range(256) if b not in (0x20, *range(0x09, 0x0E))]
         self.space_is_certain = bool(forced[solid, 0x20].all()) and not spec.get("normalizer")
+        # what is said of both sides of a cut holds for the usual pattern of byte-level files
+        split = spec.get("pre_tokenizer") or {}
+        usual = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+        self.forced = forced if self.space_is_certain and usual else None
         self.specials = [t["content"] for t in spec.get("added_tokens", [])]
         self.special_has_space = any(" " in s for s in self.specials)
         for t in spec.get("added_tokens", []):
@@ -114,7 +122,7 @@ class FragmentCodec:
 
         special = {t["id"] for t in spec.get("added_tokens", [])}
         ranks = {b: i for i, b in vocab.items() if i not in special}
-        return tiktoken.Encoding("fragments", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
+        return tiktoken.Encoding("fragments", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def fragments(self, text: str) -> list[str]:
         """Pieces whose concatenation is the text and whose encodings concatenate to its encoding."""
@@ -127,12 +135,35 @@ class FragmentCodec:
         head, *rest = text.split(" ")
         return [head, *[" " + w for w in rest]]
 
+    def split(self, text: str, known: dict) -> list[str]:
+        """Fragments of a text: cut before spaces, and long ones that are not known finely."""
+        return [p for f in self.fragments(text) for p in (self.fine(f) if len(f) >= FINE_CHARS and f not in known else (f,))]
+
     def encode_fragments(self, wanted: list[str]) -> list[bytes]:
         """Packed ids of each fragment, which is taken for a text of its own."""
         if self.merge is None:
             return [pack(e.ids) for e in self.tokenizer.encode_batch_fast(wanted, add_special_tokens=False)]
-        merge, odd = self.merge, self.odd
-        return [pack(merge(f) if not odd(f) else self.tokenizer.encode(f, add_special_tokens=False).ids) for f in wanted]
+        merge, odd = self.merge, [f for f in wanted if self.odd(f)]
+        hard = {}
+        for s in byte_slices(np.array([len(f) for f in odd])):
+            hard.update((f, pack(e.ids)) for f, e in zip(odd[s], self.tokenizer.encode_batch_fast(odd[s], add_special_tokens=False)))
+        return [hard[f] if f in hard else pack(merge(f)) for f in wanted]
+
+    def fine(self, fragment: str) -> list[str]:
+        """A long fragment, cut at every forced pair where the pre-tokenizer sees no difference.
+
+        It sees none after a character that is no white space (only white space looks ahead), unless the
+        right side starts with an apostrophe or the cut is in reach of one (contractions are read as a whole).
+        """
+        if len(fragment) < FINE_CHARS or self.forced is None or any(s in fragment for s in self.specials):
+            return [fragment]
+        raw = np.frombuffer(fragment.encode(), np.uint8)
+        head = (raw & 0xC0) != 0x80
+        at = np.flatnonzero(self.forced[raw[:-1], raw[1:]] & head[1:]) + 1
+        if len(raw) > len(fragment):
+            at = (np.cumsum(head) - 1)[at]
+        cuts = [k for k in at.tolist() if not fragment[k - 1].isspace() and fragment[k] != "'" and "'" not in fragment[max(0, k - 3) : k]]
+        return [fragment[a:z] for a, z in zip([0, *cuts], [*cuts, len(fragment)])]
 
     def odd(self, fragment: str) -> bool:
         """Holds a special token's text, or characters whose class could depend on the Unicode version."""
@@ -140,7 +171,8 @@ class FragmentCodec:
 
     def encode_texts(self, texts: list[str]) -> list[bytes]:
         """Packed little-endian 32-bit ids of each text."""
-        memo, parts = self.memo, [self.fragments(t) for t in texts]
+        memo = self.memo
+        parts = [self.split(t, memo) for t in texts]
         missing = list({f for p in parts for f in p} - memo.keys())
         if len(memo) + len(missing) > MEMO_FRAGMENTS:
             memo.clear()

@@ -2,8 +2,8 @@
 
 Arrow batches are dealt into groups of about equal bytes. Long texts are split at safe boundaries, so no
 call ever holds more than a bounded piece of text; only lengths leave the worker. Byte-level vocabularies
-(tokenizers ``.json``) split before a space that follows a non-space; sentencepiece ``.model`` files are
-counted text by text, since their space handling allows no certain cut.
+(tokenizers ``.json``) split at forced pairs, as for encoding; for sentencepiece ``.model`` files long texts are
+split at single spaces between plain letters or digits, if the vocabulary has no piece that goes on after a space.
 
 Results by case: null and empty texts count 0 bytes and 0 tokens; texts of any length are counted whole;
 each input row gives one row; extra columns are ignored; an empty table gives an empty table.
@@ -11,6 +11,8 @@ each input row gives one row; extra columns are ignored; an empty table gives an
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +25,9 @@ from ..plans.session import tidy
 from .bpe import MEMO_CHARS, MEMO_FRAGMENTS, _narrow, byte_slices, codec
 
 GROUP_BYTES = 1 << 20
+#: Characters of a part of a long text, at least, for vocabularies of the second kind.
+PART_CHARS = 1 << 16
+_SAFE_SPACE = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
 
 
 class Counter:
@@ -37,11 +42,30 @@ class Counter:
         else:
             self.pieces, self.codec = None, codec(path)
 
+    @functools.cached_property
+    def words_apart(self) -> bool:
+        """Whether no piece goes from one word into the next, and a word alone reads as it does after a space."""
+        p = self.pieces
+        inside = any("\u2581" in p.id_to_piece(i).lstrip("\u2581") for i in range(p.get_piece_size()))
+        return not inside and p.encode("a b 1") == p.encode("a") + p.encode("b") + p.encode("1")
+
+    def parts(self, text: str) -> list[str]:
+        """A long text in parts, cut at single spaces between plain letters or digits, which go; others whole."""
+        if len(text) < GROUP_BYTES or not self.words_apart:
+            return [text]
+        out, at = [], 0
+        while (m := _SAFE_SPACE.search(text, at + PART_CHARS)) is not None:
+            out.append(text[at : m.start()])
+            at = m.end()
+        return [*out, text[at:]]
+
     def count(self, texts: list[str]) -> list[int]:
         if self.codec is None:
-            return [len(x) for x in self.pieces.encode(texts, num_threads=1)] if texts else []
+            parts = [self.parts(t) for t in texts]
+            sizes = iter([len(x) for x in self.pieces.encode([p for x in parts for p in x], num_threads=1)] if texts else [])
+            return [sum(next(sizes) for _ in p) for p in parts]
         sizes, c = self.sizes, self.codec
-        parts = [c.fragments(t) for t in texts]
+        parts = [c.split(t, sizes) for t in texts]
         missing = list({f for p in parts for f in p} - sizes.keys())
         if len(sizes) + len(missing) > MEMO_FRAGMENTS * 2:
             sizes.clear()

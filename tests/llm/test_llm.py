@@ -63,6 +63,22 @@ def test_codec_equals_library():
     assert token_counts.counter(vocabulary()).count(texts) == [len(t.encode(x, add_special_tokens=False).ids) for x in texts]
 
 
+def test_long_texts_without_spaces():
+    """Cut at forced pairs everywhere: as the library reads them, in short fragments, in time that follows the length."""
+    t, c = library(), bpe.codec(vocabulary())
+    r = random.Random(3)
+    letters = ["abcdefghijklmnopqrstuvwxyz", "Aa1 !'\n\t,.s", "日本語のテキスト。、é", "'sdlmtrev!x1", "0123456789-_/.:?=&%", "\u3000\u00a0 x'ß😀\u200d!"]
+    texts = ["".join(r.choice(r.choice(letters) if k % 3 == 0 else letters[k % 6]) for _ in range(r.randint(24, 400))) for k in range(1500)]
+    for x, ids in zip(texts, c.encode_texts(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, x
+    big = "".join(r.choice("日本語のテキストabcxyzqj-/_.,0189") for _ in range(3_200_000))
+    assert len(big.encode()) > 5_000_000
+    parts = c.fine(big)
+    assert "".join(parts) == big and max(map(len, parts)) < 200
+    ids = c.encode_texts([big])[0]
+    assert c.decode_packed(ids) == big and np.frombuffer(ids, "<u4").tolist() == t.encode(big, add_special_tokens=False).ids
+
+
 def test_forced_pairs():
     forced = bpe.forced_pairs([b"ab", b"bc d"])
     assert not forced[ord("a"), ord("b")] and not forced[ord("c"), 0x20] and forced[ord("a"), 0x20] and forced[ord("d"), ord("a")]
@@ -84,7 +100,9 @@ def test_bpe_frames(spark, odd, none):
 def test_sentencepiece_counts(spark):
     spm = pytest.importorskip("sentencepiece")
     path = vocabulary("piece_bpe_32k.model")
-    texts = ["", "one two", "  x  ", "日本語"]
+    r = random.Random(4)
+    texts = ["", "one two", "  x  ", "日本語", prose(r, 400_000), "  ".join(prose(r, 9) + " é1 \n" for _ in range(30_000)), "x" * 1_100_000]
+    assert len(token_counts.counter(path).parts(texts[4])) > 10
     p = spm.SentencePieceProcessor(model_file=path)
     got = token_counts.count_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()
     assert {r.doc_id: r.n_tokens for r in got} == {i: len(p.encode(t)) for i, t in enumerate(texts)}
