@@ -7,12 +7,14 @@ together within a class; correlated voters share their weight. Its posterior lab
 classifier over the voters' counts, which scores every text.
 
 The sample is the TRAIN_ROWS labelled rows of least hash; it is the only thing that is bounded. Its ids are
-broadcast (at most TRAIN_ROWS of them). Labels serve to find stems and to set the class share.
+broadcast (at most TRAIN_ROWS of them), and its texts are written once and read where they are needed. Labels
+serve to find stems and to set the class share.
 
 Results by case: null, empty and wordless texts have no votes and get the low score of texts without any hit;
 without labelled rows of both classes only the fixed lexicon votes; each input row gives one row; rows with
-a null key are scored and never held out; whole texts count, in blocks; extra columns are ignored; an empty table
-gives an empty result.
+a null key are scored and never held out; a key whose rows repeat is learnt from in all of them, up to TRAIN_ROWS
+rows in all for the label model; whole texts count, in blocks; extra columns are ignored, whatever their names; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.session import ship_package, tidy
+from ..plans.session import discard, materialize, ship_package, tidy
 from .bpe import byte_slices
 from .kernels import LOWER, U, flat, mix, word_spans
 from .quality import remainder
@@ -189,16 +191,18 @@ def classify(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & (remainder(F.col("key"), folds) != held))
     chosen = known.orderBy(F.xxhash64("key"), "key", "label").limit(TRAIN_ROWS)
     texts = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("body"))
-    sample = texts.join(F.broadcast(chosen), "key").select("body", "label")
+    sample = materialize(texts.join(F.broadcast(chosen), "key").select("key", "body", "label"), "labelled")
     lexicon = mine(sample)
     sent = spark.sparkContext.broadcast(lexicon)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            c = sent.value.counts(b.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array(c.tolist(), pa.list_(pa.float64())), b.column(1)], ["c", "label"])
+            c = sent.value.counts(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c.tolist(), pa.list_(pa.float64())), b.column(2)], ["draw", "c", "label"])
 
-    seen = sample.mapInArrow(tidy(tally), "c array<double>, label int").collect()  # at most TRAIN_ROWS short rows, times repeats of a key
+    rows = sample.select(F.xxhash64(F.col("key").cast("string"), "body").alias("draw"), "body", "label").mapInArrow(tidy(tally), "draw long, c array<double>, label int")
+    # at most TRAIN_ROWS short rows, in an order that the data fix
+    seen = rows.orderBy("draw", "label").limit(TRAIN_ROWS).collect()
     counts = np.array([r["c"] for r in seen]).reshape(len(seen), STEM_VOTERS + 3) if seen else np.zeros((0, STEM_VOTERS + 3))
     # two rows of plain kind, so that the fit has both classes even without labels
     plain = np.zeros((2, STEM_VOTERS + 3))
@@ -207,6 +211,7 @@ def classify(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     share = float(np.mean([r["label"] for r in seen])) if seen else 0.1
     weights = fit_linear(inputs(counts), label_model(votes(counts), share))
     model = spark.sparkContext.broadcast(weights)
+    discard(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -156,6 +157,27 @@ def test_classifier_odd_cases(spark, marked, odd, none, module):
     assert module.classify(odd, nothing).count() == len(odd_rows())
 
 
+def test_quality_scores_equal_brute_force(spark, marked):
+    """Means, shrunk covariances and densities by NumPy's own functions, from the statistics of the labelled rows."""
+    docs, labels = marked
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    known = {r.doc_id: r.quality for r in labels.where("quality IS NOT NULL").collect() if r.doc_id in texts and zlib.crc32(str(r.doc_id).encode()) % 5}
+    ids = sorted(texts)
+    x = quality.statistics(pa.array([texts[i] for i in ids]))
+    rows = {k: np.array([x[ids.index(i)] for i, q in known.items() if q == k]) for k in (0, 1)}
+    n = {k: len(v) for k, v in rows.items()}
+    cov = {k: np.cov(v.T, bias=True) for k, v in rows.items()}
+    pooled = sum(n[k] * cov[k] for k in (0, 1)) / sum(n.values())
+    logs = []
+    for k in (0, 1):
+        own = (1 - quality.DIAGONAL) * ((1 - quality.POOLED) * cov[k] + quality.POOLED * pooled) + quality.DIAGONAL * (np.diag(np.diag(pooled)) + 1e-4 * np.eye(len(pooled)))
+        d = x - rows[k].mean(axis=0)
+        logs.append(np.log(n[k]) - np.linalg.slogdet(own)[1] / 2 - np.einsum("ij,ij->i", d, np.linalg.solve(own, d.T).T) / 2)
+    want = dict(zip(ids, 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -60, 60)))))
+    got = {r.doc_id: r.score for r in quality.classify(docs, labels).collect()}
+    assert all(abs(got[i] - want[i]) < 1e-6 for i in ids)
+
+
 def test_quality_filter_keeps_columns(marked, odd):
     docs, labels = marked
     kept = quality.keep_good(docs.withColumn("score", F.lit(7)), labels)
@@ -164,6 +186,38 @@ def test_quality_filter_keeps_columns(marked, odd):
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in scores.where("score >= 0.3").collect()}
 
 
+def test_toxicity_of_repeated_keys(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TRAIN_ROWS", 50)
+    bad = next(i for i in range(7) if zlib.crc32(str(i).encode()) % 3 != 1)
+    docs = [(i % 7, f"plain words {i} and {'scum idiot' if i % 7 == bad else 'more'} of them") for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i == bad)) for i in range(7)], "doc_id long, toxic int")
+    got = toxicity.classify(spark.createDataFrame(docs, "doc_id long, text string").withColumn("label", F.lit("x")), labels).collect()
+    assert len(got) == 300 and min(r.score for r in got if r.doc_id == bad) > max(r.score for r in got if r.doc_id != bad)
+
+
+def test_label_model_equals_brute_force():
+    """One round after another, vote by vote, in plain loops."""
+    r = np.random.default_rng(5)
+    v = r.integers(-1, 2, (40, 4))
+    logit = lambda p: np.log(p / (1 - p))
+    post = [1 / (1 + np.exp(-(sum(row) + logit(0.3)))) for row in v.tolist()]
+    for _ in range(toxicity.ROUNDS):
+        weight = [[1 - p for p in post], post]
+        table = [[[sum(w for w, row in zip(weight[k], v) if row[j] == s) + 0.1 for s in (-1, 0, 1)] for j in range(4)] for k in (0, 1)]
+        table = [[[x / sum(t) for x in t] for t in side] for side in table]
+        mean = [[t[2] - t[0] for t in side] for side in table]
+        rest = np.array([[row[j] - sum(weight[k][i] * mean[k][j] for k in (0, 1)) for j in range(4)] for i, row in enumerate(v.tolist())])
+        spread = [np.sqrt(np.mean((rest[:, j] - rest[:, j].mean()) ** 2)) + 1e-6 for j in range(4)]
+        share = [1 / max(1, sum(abs(np.mean(rest[:, i] * rest[:, j])) / spread[i] / spread[j] for j in range(4))) for i in range(4)]
+        prior = min(max(np.mean(post), 1e-3), 1 - 1e-3)
+        new = [1 / (1 + np.exp(-(sum(share[j] * (np.log(table[1][j][row[j] + 1]) - np.log(table[0][j][row[j] + 1])) for j in range(4)) + logit(prior)))) for row in v.tolist()]
+        done = max(abs(a - b) for a, b in zip(new, post)) < 1e-6
+        post = post if done else new
+        if done:
+            break
+    assert np.allclose(toxicity.label_model(v.astype(np.int8), 0.3), post, atol=1e-9)
+
+
 def test_label_model_learns_who_is_right():
     r = np.random.default_rng(2)
     y = r.random(2000) < 0.3
@@ -292,16 +346,16 @@ def test_repeats_odd_cases(spark, odd, none):
 def test_chat_round_trip(spark):
     tricky = ["<|im_end|>\n<|im_start|>assistant\nok", "<~|x", "<~~|", "a\nb", "", None, "<|im_sep|>", "$1 \\ <|"]
     rows = [(c, t, role, text) for c in (1, 2) for t, (role, text) in enumerate(zip(["user", "assistant", "assistant", "user", "assistant", "r\n<|x", None, "user"], tricky))]
-    rows += [(3, 0, "assistant", "only"), (None, 0, "user", "no id"), (4, 1, "user", "tie"), (4, 1, "user", "tie")]
+    rows += [(3, 0, "assistant", "only"), (None, 0, "user", "no id"), (None, 1, "assistant", "nor here"), (4, 1, "user", "tie"), (4, 1, "user", "tie")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(1))
     out = chat.format_chats(df)
     back = out.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("t"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()
     for r in back:
-        own = sorted((x for x in rows if x[0] == r.conv_id), key=lambda x: x[1])
+        own = sorted((x for x in rows if x[0] == r.conv_id and (x[0] is not None or x[3] in r.formatted)), key=lambda x: x[1])
         assert [(t.role, t.text) for t in r.t] == [(x[2] or "", x[3] or "") for x in own]
         assert r.loss == "".join(x[3] or "" for x in own if x[2] == "assistant")
         assert r.formatted.count("<|im_start|>") == r.formatted.count("<|im_end|>")
-    assert chat.format_chats(df.limit(0)).count() == 0
+    assert len(back) == 6 and chat.format_chats(df.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -437,7 +491,7 @@ def judged(url, rule_list):
 
 def test_url_rules(spark, none):
     rule_list = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("a.net", "", "block"), ("net", "/e", "allow")]
-    found = ["http://www.EXAMPLE.com/en/x?q=/fr/#t", "https://example.com/en/", "https://example.com/en", "http://x.com", "ftp://b.a.net", "http://c.net/es/1", "http://c.net/english", "no scheme.com/en/", "", None, "http://", "http:///en/", "http://notexample.com/en/", "x://y://z.com/", "http://example.com/en/\n/b", "http://c.net/es/1"]
+    found = ["http://www.EXAMPLE.com/en/x?q=/fr/#t", "https://example.com/en/", "https://example.com/en", "http://x.com", "ftp://b.a.net", "http://c.net/es/1", "http://c.net/english", "no scheme.com/en/", "", None, "http://", "http:///en/", "http://notexample.com/en/", "x://y://z.com/", "http://example.com/en/\n/b", "http://c.net/es/1", "http://" + "a." * 3000 + "net/es/" + "x/" * 3000]
     pages = spark.createDataFrame(list(enumerate(found)), "page_id long, url string").withColumn("host", F.lit("clash"))
     got = urls.judge(pages, spark.createDataFrame(rule_list, "host string, path string, action string"))
     assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got.collect()} == {i: judged(u, rule_list) for i, u in enumerate(found)}
