@@ -5,6 +5,9 @@ expressions are joined to the rules on a short prefix of their digest; full dige
 longest rule wins. Rows are joined, never collected; the rule side is small in most uses, but the plan works for
 any number of rules, since Spark chooses the join by size.
 
+A URL is expanded no further than the rules reach (labels of a host, slashes of a path), so a very long one
+costs no more than others. Rows without a host go round the joins.
+
 Results by case: a null URL, or one without ``://``, has an empty host and path and no rule; a URL without a
 fitting rule gets the default verdict; of rules of one length that fit, which differ in host and path, the
 longer host wins, and of equal rules with other actions ``block`` wins; repeated rows each get a row; extra
@@ -30,11 +33,14 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return host, path
 
 
-def expressions(host: Column, path: Column) -> Column:
-    """All ``host suffix`` + newline + ``path prefix`` strings; prefixes end at a slash or are empty."""
+def expressions(host: Column, path: Column, most_labels: int, most_slashes: int) -> Column:
+    """All ``host suffix`` + newline + ``path prefix`` strings; prefixes end at a slash or are empty.
+
+    Suffixes have ``most_labels`` labels and prefixes ``most_slashes`` slashes at most.
+    """
     labels = F.split(host, r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    parts = F.split(path, "/")
+    hosts = F.transform(F.sequence(F.greatest(F.lit(1), F.size(labels) - most_labels + 1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    parts = F.split(path, "/", most_slashes + 1)  # the last part has whatever follows
     paths = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.when(i == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/"))))).otherwise(F.array(F.lit("")))
     return F.array_distinct(F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, F.lit("\n"), p)))))
 
@@ -54,8 +60,11 @@ def judge(urls: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "u
     ).where(F.col("rule_host") != "")
     filed = F.regexp_extract("rule_path", r"(?s)^.*/", 0)
     r = r.withColumn("rule_digest", F.sha2(F.concat("rule_host", F.lit("\n"), filed), 256)).withColumn("short", F.substring("rule_digest", 1, PREFIX_HEX))
-    pairs = src.select("host", "path").where("host != ''").distinct()
-    wide = pairs.select("host", "path", F.explode(expressions(F.col("host"), F.col("path"))).alias("e")).select("host", "path", F.sha2("e", 256).alias("digest"))
+    count = lambda c, mark: F.coalesce(F.max(F.length(c) - F.length(F.replace(c, F.lit(mark), F.lit("")))), F.lit(0))
+    dots, slashes = r.agg(count(F.col("rule_host"), "."), count(F.col("rule_path"), "/")).first()
+    named, nameless = src.where("host != ''"), src.where("host = ''")
+    pairs = named.select("host", "path").distinct()
+    wide = pairs.select("host", "path", F.explode(expressions(F.col("host"), F.col("path"), dots + 1, slashes)).alias("e")).select("host", "path", F.sha2("e", 256).alias("digest"))
     hits = (
         wide.withColumn("short", F.substring("digest", 1, PREFIX_HEX))
         .join(r, "short")
@@ -69,11 +78,12 @@ def judge(urls: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "u
         F.col("action"),
     )
     best = hits.groupBy("host", "path").agg(F.max(rank).alias("best"))
-    out = src.join(best, ["host", "path"], "left")
+    out = named.join(best, ["host", "path"], "left").select("key", "host", "path", "best.rule", "best.action")
+    out = out.unionByName(nameless, allowMissingColumns=True)
     return out.select(
         F.col("key").alias(key),
         "host",
         "path",
-        F.col("best.rule").alias("rule"),
-        F.coalesce(F.col("best.action"), F.lit(default)).alias("verdict"),
+        "rule",
+        F.coalesce("action", F.lit(default)).alias("verdict"),
     )
