@@ -9,8 +9,8 @@ where ``<|im_sep|>`` parts the texts of merged turns, so that the turns can be r
 texts every ``<``, any run of ``~``, ``|`` gets one more ``~``, so no control string can stand in them; a line
 feed in a role is written ``<|nl|>``. Both are undone exactly on reading.
 
-Results by case: null text or role is empty; null conversation ids form one conversation; null turns sort
-first; repeated turns all stay, ordered by turn, role and text; a conversation is one output row, so its
+Results by case: null text or role is empty; a null id names no conversation, so each such row is one of a
+single turn, and no group is collected from them; null turns sort first; repeated turns all stay, ordered by turn, role and text; a conversation is one output row, so its
 size is bounded by that of a string; extra input columns are ignored; no rows give no rows.
 """
 
@@ -52,7 +52,8 @@ def format_chats(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
             escape(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("text"),
         ).alias("t"),
     )
-    turns = src.groupBy("conv").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    turns = src.where("conv IS NOT NULL").groupBy("conv").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    turns = turns.unionByName(src.where("conv IS NULL").select("conv", F.array("t").alias("turns")))
 
     # what stands before each turn's text, and the text: adjacent turns of one role share a block
     pieces = turns.select(
