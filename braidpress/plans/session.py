@@ -62,9 +62,12 @@ def tidy(run):
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; a local one only in local mode, where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if master.split("[")[0] != "local":
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share: {master} has several machines")
         found = f"file://{tempfile.mkdtemp(prefix='braidpress-')}"
         spark.sparkContext.setCheckpointDir(found)
     return f"{found.rstrip('/')}/tables-{spark.sparkContext.applicationId}"
