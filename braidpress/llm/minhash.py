@@ -378,5 +378,5 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     """
     dropped = materialize(near_duplicates(df, key, text).where(~F.col("kept")).select(F.col(key).alias("gone")).distinct(), "dropped")
     maybe = maybe_among(dropped, "gone", F.col(key))
-    suspects = df.where(maybe).join(dropped, F.col(key) == F.col("gone"), "left_anti")
+    suspects = df.where(maybe).join(dropped.withColumnRenamed("gone", key), key, "left_anti")
     return df.where(~maybe).unionByName(suspects)

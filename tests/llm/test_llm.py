@@ -682,6 +682,37 @@ def test_pipeline(spark, small):
         assert final[r.doc_id].decoded_sha256 == hashlib.sha256(r.text.encode()).hexdigest()
 
 
+def test_pipeline_odd_cases(spark, monkeypatch):
+    """Nulls, empty and long texts, repeated rows and keys, clashing columns and empty tables, stage by stage."""
+    import corpus_pipeline as c
+
+    r = random.Random(21)
+    passage, leak = prose(r, 60), prose(r, 40)
+    rows = [(i, t, lang) for i, t, lang in odd_rows()]
+    rows += [(20, f"{prose(r, 80)} {passage} {prose(r, 80)}", "en"), (21, f"{prose(r, 80)} {passage} {prose(r, 80)}", None), (None, f"{prose(r, 30)} {leak}", "en"), (22, f"{leak} {prose(r, 30)}", "en"), (22, prose(r, 50), "en")]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("source", F.lit(None).cast("string")).withColumn("n_chars", F.length("text").cast("long"))
+    for name in ("key", "body", "leak_row", "rid", "cuts", "score", "label", "kept", "words", "digest", "gone", "group"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    tables = {"labels": spark.createDataFrame([], "doc_id long, quality int, toxic int"), "benchmark": spark.createDataFrame([(1, leak), (2, None), (3, "")], "item_id long, text string")}
+    monkeypatch.setattr(c, "table", lambda _, __, name: tables[name])
+    count = lambda frame: collections.Counter((x.doc_id, x.text) for x in frame.collect())
+    own = collections.Counter((i, t) for i, t, _ in rows)
+    assert count(c.good_quality(spark, docs, "")) == own
+    one = c.one_of_each(spark, docs, "")
+    assert count(one) == own - collections.Counter({(6, rows[6][1]): 1})
+    cut = c.no_repeats(spark, docs, "")
+    left = count(cut)
+    assert all(left[i, t] == n for (i, t), n in own.items() if i not in (20, 21)) and sum(left.values()) == len(rows)
+    assert all(passage not in (x.text or "") and x.n_chars == (None if x.text is None else len(x.text)) for x in cut.collect())
+    clean = c.no_leaks(spark, docs, "")
+    assert count(clean) == own - collections.Counter({(None, rows[-3][1]): 1, (22, rows[-2][1]): 1})
+    assert all(f.columns == docs.columns and {x.leak_row for x in f.collect()} == {"clash"} for f in (one, cut, clean))
+    ids = c.tokens(spark, docs, "").collect()
+    assert collections.Counter((x.doc_id, x.decoded_sha256) for x in ids) == collections.Counter((i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t, _ in rows)
+    for _, stage in c.STAGES:
+        assert stage(spark, docs.limit(0), "").count() == 0
+
+
 def test_kernel_words():
     texts = ["", " a", "bb\tc ", None, "x" * 5000 + " " + "x" * 5000, "é é"]
     data, offs = kernels.flat(pa.array(texts))
