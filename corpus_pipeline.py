@@ -54,10 +54,13 @@ def no_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are named by a digest of key and text: a leaking row with a null key goes too, and of rows that repeat
     a key only those whose own text leaks.
     """
-    name = F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), F.coalesce("text", F.lit(""))), 256)
-    rows = docs.withColumn("leak_row", name)
-    leaks = decontam.contaminated(rows, table(spark, sf_dir, "benchmark"), key="leak_row").select("leak_row").distinct()
-    return rows.join(leaks, "leak_row", "left_anti").select(*docs.columns)
+    name = "leak_row"
+    while name in docs.columns:
+        name += "_"
+    digest = F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), F.coalesce("text", F.lit(""))), 256)
+    rows = docs.withColumn(name, digest)
+    leaks = decontam.contaminated(rows, table(spark, sf_dir, "benchmark"), key=name).select(name).distinct()
+    return rows.join(leaks, name, "left_anti").select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
