@@ -102,6 +102,60 @@ class Decoder:
         return s
 
 
+def bit_lengths(x: np.ndarray) -> np.ndarray:
+    """Bits of whole numbers from 0 to 2**53."""
+    return np.frexp(x.astype(np.float64))[1].astype(np.int64)
+
+
+class Decoders:
+    """Many decoders that take a symbol each at a step: :class:`Decoder`'s arithmetic over int64 arrays."""
+
+    def __init__(self, coded: Sequence[bytes]) -> None:
+        # zeros stand past the end of each, as far as a window of five bytes may look
+        most = max(map(len, coded), default=0)
+        self.data = np.zeros((len(coded), most + 8), np.int64)
+        for k, c in enumerate(coded):
+            self.data[k, : len(c)] = np.frombuffer(c, np.uint8)
+        self.at = np.full(len(coded), 32)
+        self.low, self.high = np.zeros(len(coded), np.int64), np.full(len(coded), TOP)
+        self.code = (self.data[:, :4] << np.array([24, 16, 8, 0])).sum(axis=1)
+
+    def keep(self, n: int) -> None:
+        """Go on with the first n alone."""
+        self.data, self.at, self.low, self.high, self.code = (x[:n] for x in (self.data, self.at, self.low, self.high, self.code))
+
+    def _bits(self, n: np.ndarray) -> np.ndarray:
+        """The next n bits of each (32 at most)."""
+        first = np.minimum(self.at >> 3, self.data.shape[1] - 5)
+        rows = np.arange(len(self.data))
+        window = np.zeros(len(rows), np.int64)
+        for k in range(5):
+            window = (window << 8) | self.data[rows, first + k]
+        window = np.where(self.at >> 3 == first, window, 0)
+        found = (window >> (40 - (self.at & 7) - n)) & ((1 << n) - 1)
+        self.at = self.at + n
+        return found
+
+    def symbols(self, tables: np.ndarray) -> np.ndarray:
+        """The next symbol of each under the inclusive table in its row."""
+        rows = np.arange(len(tables))
+        total, span = tables[:, -1], self.high - self.low + 1
+        value = ((self.code - self.low + 1) * total - 1) // span
+        s = np.minimum((tables <= value[:, None]).sum(axis=1), tables.shape[1] - 1)
+        below = np.where(s > 0, tables[rows, s - 1], 0)
+        low, high = self.low + span * below // total, self.low + span * tables[rows, s] // total - 1
+        # the leading bits that both ends share leave at once
+        n = 32 - bit_lengths(low ^ high)
+        low, high = (low << n) & TOP, ((high << n) & TOP) | ((1 << n) - 1)
+        code = ((self.code << n) & TOP) | self._bits(n)
+        # then all straddled ones: after the first bit, ones of low over zeros of high
+        m = 32 - bit_lengths(~((low & ~high) << 1) & TOP)
+        self.low = (low << m) & (HALF - 1)
+        self.high = ((high << m) & (HALF - 1)) | HALF | ((1 << m) - 1)
+        self.code = (code << m) - HALF * ((1 << m) - 1) + self._bits(m)
+        return s
+
+
 def encode_symbols(table: Sequence[int], symbols: Iterable[int]) -> bytes:
     """Code symbols under one static table."""
     e = Encoder()

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..operators import container as box
 from ..operators.chunking import BOS, chunk, level_context, reassemble, to_log2
-from ..operators.coder import Decoder, batches_of, decode_symbols, encode_spans, encode_symbols
+from ..operators.coder import Decoders, batches_of, decode_symbols, encode_spans, encode_symbols
 from ..operators.kernels import Runner, Weights
 from ..operators.vocabulary import Vocabulary, byte_counts, tokenize, token_bytes
 from ..sources.model import vocabulary_of
@@ -67,19 +67,21 @@ def decode_chunks(w: Weights, coded: list[bytes], lengths: list[int], bos: int =
     for at in range(0, len(order), 256):
         part = order[at : at + 256]
         n = lengths[part[0]]
-        runner, decoders = Runner(w, len(part), n), [Decoder(coded[i]) for i in part]
+        runner, decoders = Runner(w, len(part), n), Decoders([coded[i] for i in part])
+        found = np.zeros((len(part), n), np.int64)
         tokens = np.full((len(part), 1), bos)
         for pos in range(n):
             # the batch is sorted by length, so the chunks that go on are a prefix
             live = sum(lengths[i] > pos for i in part)
             if live < len(tokens):
                 tokens = tokens[:live]
+                decoders.keep(live)
                 runner.keys = [k[:live] for k in runner.keys]
                 runner.values = [v[:live] for v in runner.values]
-            tables = runner.tables(tokens, pos)[:, 0]
-            for k in range(live):
-                out[part[k]].append(decoders[k].symbol(tables[k]))
-            tokens = np.array([[out[i][-1]] for i in part[:live]])
+            found[:live, pos] = decoders.symbols(runner.tables(tokens, pos)[:, 0])
+            tokens = found[:live, pos : pos + 1]
+        for i, row in zip(part, found.tolist()):
+            out[i] = row[: lengths[i]]
     return out
 
 

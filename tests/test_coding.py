@@ -58,3 +58,26 @@ def test_tables_from_logits(spark, logits, want):
 def test_total():
     assert distribution.target_total(1024) == (1 << 30) - 2048
     assert distribution.target_total(1 << 30) == (1 << 30) + 1
+
+
+def test_span_encoder_and_step_decoders_equal_the_coder():
+    """The forms that work by whole runs of bits, against the one that works bit by bit."""
+    r = np.random.default_rng(1)
+    for k in range(300):
+        size = int(r.integers(2, 40))
+        freqs = r.integers(1, (5, 1 << 24)[k % 2], size)
+        if k % 3 == 0:
+            freqs[r.integers(size)] = 1 << 28
+        table = np.cumsum(freqs)
+        runs = [r.integers(0, size, n) if k % 5 else np.full(n, int(np.argmax(freqs))) for n in (0, 1, int(r.integers(1, 90)), 400)]
+        coded = [coder.encode_symbols(table.tolist(), x.tolist()) for x in runs]
+        for x, c in zip(runs, coded):
+            assert coder.encode_spans([int(table[s - 1]) if s else 0 for s in x], [int(table[s]) for s in x], int(table[-1])) == c
+        order = sorted(range(len(runs)), key=lambda i: -len(runs[i]))
+        d, out = coder.Decoders([coded[i] for i in order]), [[] for _ in order]
+        for pos in range(len(runs[order[0]])):
+            live = sum(len(runs[i]) > pos for i in order)
+            d.keep(live)
+            for j, s in enumerate(d.symbols(np.tile(table, (live, 1)))):
+                out[j].append(int(s))
+        assert [o for o in out] == [runs[i].tolist() for i in order]

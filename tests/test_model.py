@@ -1,3 +1,6 @@
+import math
+from fractions import Fraction
+
 import numpy as np
 import pytest
 
@@ -51,6 +54,80 @@ def test_grouped_fold_equals_fold_by_key(with_sink):
                 assert got[c, h, j].tolist() == fold_by_key(q[c, h, j], k[c, : j + 1], v[c, : j + 1], int(mult[h]), sink)
 
 
+def plain_rne(x, s):
+    """x / 2**s, half to even, from Python's exact rounding of fractions."""
+    return x if s <= 0 else round(Fraction(x, 1 << s))
+
+
+def plain_div(n, d):
+    return round(Fraction(n, d))
+
+
+def c8(x):
+    return max(-127, min(127, x))
+
+
+def c32(x):
+    return max(-(1 << 31), min((1 << 31) - 1, x))
+
+
+def plain_norm(x, weight):
+    ms = max(1, sum(v * v for v in x) // len(x) + 1)
+    inv = max(1, min(32768, plain_div(8388608, math.isqrt(ms << 16))))
+    return [c8(plain_rne(v * int(g) * inv, 15)) for v, g in zip(x, weight)]
+
+
+def plain_matrix(x, w, scale):
+    mult, shift = scale
+    sums = [sum(a * int(b) for a, b in zip(x, row)) for row in w]
+    return [c8(v * mult) if shift <= 0 else c8(c32(plain_rne(v * mult, shift))) for v in sums]
+
+
+def plain_turn(x, cos, sin, again):
+    a, b = x[:32], x[32:]
+    pairs = [(p * int(c) - q * int(s), p * int(s) + q * int(c)) for p, q, c, s in zip(a, b, cos, sin)]
+    return [c8(plain_rne(plain_rne(v, 15), again)) for k in (0, 1) for v in (p[k] for p in pairs)]
+
+
+def plain_logits(w, tokens):
+    """The whole forward pass of one chunk, a position at a time, in Python integers."""
+    keys, values, out = [[] for _ in w.layers], [[] for _ in w.layers], []
+    heads, d = w.width // 64, w.width
+    for pos, t in enumerate(tokens):
+        x = [int(v) for v in w.embed[t]]
+        for i, layer in enumerate(w.layers):
+            qkv = plain_matrix(plain_norm([c8(v) for v in x], layer.attn_norm), layer.qkv, layer.scales["qkv"])
+            keys[i].append(plain_turn(qkv[d : d + 64], w.cos[pos], w.sin[pos], 0))
+            values[i].append(qkv[d + 64 : d + 128])
+            a = []
+            for h in range(heads):
+                q = np.array(plain_turn(qkv[64 * h : 64 * h + 64], w.cos[pos], w.sin[pos], 1))
+                a += fold_by_key(q, np.array(keys[i]), values[i], int(layer.score_mult[h]), layer.sink_key)
+            x = [p + q for p, q in zip(x, plain_norm(plain_matrix(a, layer.out, layer.scales["out"]), layer.ffn_norm))]
+            up = plain_matrix(plain_norm([c8(v) for v in x], layer.post_attn_norm), layer.up, layer.scales["up"])
+            half = len(up) // 2
+            gated = [c8(plain_rne(max(g, 0) * v, 7)) for g, v in zip(up[:half], up[half:])]
+            x = [p + q for p, q in zip(x, plain_norm(plain_matrix(gated, layer.down, layer.scales["down"]), layer.post_ffn_norm))]
+        last = plain_norm([c8(v) for v in x], w.norm)
+        out.append([sum(a * int(b) for a, b in zip(last, row)) for row in w.head])
+    return out
+
+
+@pytest.mark.parametrize("layers, sink", [(1, True), (2, False)])
+def test_forward_pass_equals_plain_integers(layers, sink):
+    w = model.fixture(layers=layers, sink=sink)
+    tokens = np.random.default_rng(7).integers(0, 1024, 6)
+    got = kernels.Runner(w, 1, 6).forward(tokens[None])[0]
+    assert got.astype(np.int64).tolist() == plain_logits(w, tokens.tolist())
+    # and the tables that follow from the logits
+    total = (1 << 30) - 1024 - 1024
+    for row, table in zip(plain_logits(w, tokens[:2].tolist()), kernels.Runner(w, 1, 2).tables(tokens[None, :2])[0]):
+        e = [int(exp_q16_values(np.array([v - max(row)]), w.coef)[0]) for v in row]
+        freq = [1 + x * (total - 1024) // sum(e) for x in e]
+        freq[row.index(max(row))] += total - sum(freq)
+        assert np.cumsum(freq).tolist() == table.tolist()
+
+
 @pytest.mark.parametrize("layers, sink", [(1, True), (2, False)])
 def test_steps_equal_whole_and_batches_do_not_matter(layers, sink):
     w = model.fixture(layers=layers, sink=sink)
