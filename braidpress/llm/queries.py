@@ -199,7 +199,7 @@ pq AS (SELECT doc_id, kind, s / sum(s) OVER (PARTITION BY doc_id, kind) AS p, q
 js AS (SELECT doc_id, kind, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)) AS d FROM pq GROUP BY doc_id, kind),
 far AS (SELECT doc_id, max(d) FILTER (WHERE kind = 'c') AS dc, max(d) FILTER (WHERE kind = 'm') AS dm FROM js GROUP BY doc_id)
 SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT coalesce((n_words >= {rules.CLASS_GUARD} AND dc > {rules.CLASS_LIMIT}) OR (n_words >= {rules.COMMON_GUARD} AND dm > {rules.COMMON_LIMIT}), FALSE) AS kept
+       NOT base_failed AND NOT coalesce(n_words >= {rules.GUARD} AND (dc > {rules.CLASS_LIMIT[0]} + {rules.CLASS_LIMIT[1]} / sqrt(n_words) OR dm > {rules.COMMON_LIMIT[0]} + {rules.COMMON_LIMIT[1]} / sqrt(n_words)), FALSE) AS kept
 FROM b LEFT JOIN far ON b.doc_id = far.doc_id
 """
 

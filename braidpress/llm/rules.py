@@ -7,7 +7,7 @@ sums over all documents that pass the base rules; there is one for each language
 for all, so the table that is joined has a fixed bound.
 
 Results by case: a null text has no words; it fails the base rule (fewer than 10 words). Documents of fewer
-words than the guard keep the base verdict; an unknown or null language is compared to the sum of all.
+words than GUARD keep the base verdict; an unknown or null language is compared to the sum of all.
 Repeated rows each get a row; extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -31,9 +31,11 @@ COMMON = {
     "de": ["der", "die", "und", "in", "den", "von", "zu", "das"],
     "es": ["de", "la", "que", "el", "en", "y", "los", "del"],
 }
-#: Guards in words, and the distances (0 to 1) above which a document fails.
-CLASS_GUARD, CLASS_LIMIT = 30, 0.33
-COMMON_GUARD, COMMON_LIMIT = 400, 0.26
+#: Words below which the distances say nothing.
+GUARD = 30
+#: Distances (0 to 1) above which a document fails: a base, and a part that falls with the root of its number of
+#: words, as the distance of a fair sample from its language does.
+CLASS_LIMIT, COMMON_LIMIT = (0.12, 1.8), (0.09, 1.6)
 #: Added to every bin, so that short documents are not far from their language by chance alone.
 SMOOTH = 1.0
 
@@ -137,7 +139,8 @@ def apply_rules(df: DataFrame, key: str = "doc_id", text: str = "text", lang: st
     # at most len(LANGUAGES) + 1 rows
     joined = rows.join(F.broadcast(refs), "ref_lang", "left")
     measured = joined.withColumn("class_distance", distance(smoothed(F.col("chars"), F.col("ref_chars")), F.col("ref_chars"))).withColumn("common_distance", distance(smoothed(F.col("common"), F.col("ref_common")), F.col("ref_common")))
-    far = ((F.col("n_words") >= CLASS_GUARD) & (F.col("class_distance") > CLASS_LIMIT)) | ((F.col("n_words") >= COMMON_GUARD) & (F.col("common_distance") > COMMON_LIMIT))
+    beyond = lambda c, limit: F.col(c) > F.lit(limit[0]) + F.lit(limit[1]) / F.sqrt("n_words")
+    far = (F.col("n_words") >= GUARD) & (beyond("class_distance", CLASS_LIMIT) | beyond("common_distance", COMMON_LIMIT))
     return measured.select(
         F.col("key").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).alias("kept"), "class_distance", "common_distance",
