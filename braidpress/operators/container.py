@@ -275,7 +275,11 @@ def assemble(chunks: DataFrame, keys: list[str], model: int = 0, tokenizer: int
     rows = chunks.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.when(F.col("chunk_idx").isNotNull(), F.struct("chunk_idx", "coded")))).alias("c"),
         F.coalesce(F.max_by("n_tokens", "chunk_idx"), F.lit(0)).alias("last"), F.coalesce(F.sum("n_tokens"), F.lit(0)).cast("bigint").alias("n_tokens"), F.max("n_bytes").alias("n_bytes"),
+        F.coalesce(F.max("chunk_idx") + 1, F.lit(0)).alias("chunks"), F.count_if(F.col("chunk_idx").isNull()).alias("bare"),
     )
+    # two texts under one key would make a container of both
+    one = (F.size("c") == F.col("chunks")) & (F.col("bare") == F.when(F.col("chunks") > 0, 0).otherwise(1))
+    rows = rows.withColumn("c", F.when(one, F.col("c")).otherwise(F.raise_error(F.lit("a key has several texts")).cast(rows.schema["c"].dataType)))
     lengths = F.transform("c", lambda s: F.when(F.octet_length(s.coded) <= MAX_CHUNK, F.octet_length(s.coded)).otherwise(F.raise_error(F.lit("a chunk has more than 65,535 bytes")).cast("int")))
     inner = pack_inner(F.lit(model), F.col("last"), F.lit(tokenizer), F.lit(log2), lengths)
     body = F.coalesce(joined_bytes(F.transform("c", lambda s: s.coded)), F.unhex(F.lit("")))

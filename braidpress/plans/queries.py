@@ -552,6 +552,14 @@ for _level in range(1, 6):
     model_roundtrip(_level)
 
 
+@query("SELECT doc_id, text FROM documents")
+def model_roundtrip_documents(spark, sf_dir):
+    """Whole documents, long and short, through the model and the coder, and back."""
+    w = files.fixture()
+    boxes = materialize(C.compress_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), w, level=1, codec_level=3), "boxes")
+    return C.decompress_documents(boxes, w)
+
+
 @query("SELECT conv_id * 1000 + turn AS turn_id, text FROM conversations")
 def model_roundtrip_conversations(spark, sf_dir):
     w = files.fixture()

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.errors import PySparkException
 
 from braidpress.plans import compress
 from braidpress.sources import model
@@ -24,6 +25,12 @@ def test_documents_round_trip(spark, weights, level):
     boxes.unpersist()
 
 
+def test_repeated_keys_raise(spark, weights):
+    for texts in (["one", "two"], ["", "two"], ["", ""]):
+        with pytest.raises(PySparkException, match="several texts"):
+            compress.compress_documents(spark.createDataFrame([(1, t) for t in texts], "doc_id long, text string"), weights).collect()
+
+
 def test_partitioning_does_not_matter(spark, weights):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     a = {r.doc_id: bytes(r.container) for r in compress.compress_documents(df, weights).collect()}
