@@ -2,6 +2,10 @@
 
 Encoding knows all inputs, so a whole batch of chunks goes through each layer at once; decoding advances all
 chunks of a batch by one position per step, with cached keys and values. Both give the same integers.
+
+Values are whole numbers held in float64, which is exact below 2**53 and which vector units handle best: products
+and sums are exact, ``rint`` rounds half to even, and a quotient of two of them is rounded by far less than its
+distance from a tie or a whole number. What could exceed that (large multipliers) goes through int64.
 """
 
 from __future__ import annotations
@@ -10,22 +14,23 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-from ..functions.tables import ATTENTION_COEF, SOFTMAX_COEF, exp_q16_values
+from ..functions.tables import ATTENTION_COEF, SOFTMAX_COEF, exp_by_float
 from .distribution import cumulative_values, symbol_spans
 
 HEAD_DIM = 64
 #: A float32 product sum is exact below 2**24, that is up to this many terms of two 8-bit factors.
 EXACT_TERMS = 1040
-#: Rows (heads times queries) of a chunk from which the fold goes chunk by chunk.
-FEW_ROWS = 32
+EXACT = 1 << 53
 
 
 def rne(x: np.ndarray, shift: int) -> np.ndarray:
-    """x / 2**shift, half to even, over int64."""
+    """x / 2**shift, half to even, for int64 or whole numbers in float64."""
     if shift <= 0:
         return x
     if shift >= 32:
         return np.zeros_like(x)
+    if x.dtype.kind == "f":
+        return np.rint(x * 2.0**-shift)
     # just under a half is added, and one more where the result would be odd
     return (x + ((x >> shift) & 1) + ((1 << (shift - 1)) - 1)) >> shift
 
@@ -48,28 +53,19 @@ def gemm(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return product(x, float_matrix(w)).astype(np.int64)
 
 
-def product(x: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """x times a :func:`float_matrix`: whole numbers in its floating type."""
-    return (x.reshape(-1, x.shape[-1]).astype(table.dtype) @ table).reshape(*x.shape[:-1], table.shape[1])
-
-
 def requantize(x: np.ndarray, mult: int, shift: int) -> np.ndarray:
     return clamp8(x * mult if shift <= 0 else clamp32(rne(x * mult, shift)))
 
 
-def divide_unsigned(n: np.ndarray, d: np.ndarray) -> np.ndarray:
-    q, r = np.divmod(n, d)
-    return q + ((2 * r > d) | ((2 * r == d) & (q & 1 == 1)))
-
-
-def isqrt(x: np.ndarray) -> np.ndarray:
-    return np.floor(np.sqrt(x.astype(np.float64))).astype(np.int64)
+def product(x: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """x times a :func:`float_matrix`: whole numbers in its floating type."""
+    return (x.reshape(-1, x.shape[-1]).astype(table.dtype) @ table).reshape(*x.shape[:-1], table.shape[1])
 
 
 def rms_norm(x: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Rows of 8-bit values, normalised."""
-    ms = np.maximum(1, (x * x).sum(axis=-1, keepdims=True) // x.shape[-1] + 1)
-    inv = np.clip(divide_unsigned(np.full_like(ms, 8388608), isqrt(ms << 16)), 1, 32768)
+    ms = np.maximum(1, np.floor((x * x).sum(axis=-1, keepdims=True) / x.shape[-1]) + 1)
+    inv = np.clip(np.rint(8388608 / np.floor(np.sqrt(ms * 65536))), 1, 32768)
     return clamp8(rne(x * weight * inv, 15))
 
 
@@ -84,55 +80,39 @@ def rotate(x: np.ndarray, cos: np.ndarray, sin: np.ndarray, again: int) -> np.nd
 
 
 def _rescale(acc: np.ndarray, factor: np.ndarray) -> np.ndarray:
-    """acc * factor / 2**16, half away from zero before the arithmetic shift."""
+    """acc * factor / 2**16: half a unit away from zero, then down."""
     product = acc * factor
-    return (product + np.where(product >= 0, 1 << 15, -(1 << 15))) >> 16
-
-
-def _fold_batch(total, weight, scale, fresh, group, v, sink):
-    """Sums of weights and weighted values; all chunks go through a group at once."""
-    acc = np.zeros((*total.shape, HEAD_DIM), np.int64)
-    for g in range(0 if sink else 1, int(group.max()) + 1):
-        if g > (0 if sink else 1):
-            event = fresh & (group == g)
-            has = event.any(axis=-1)
-            factor = (scale * event).sum(axis=-1)
-            total = np.where(has, (total * factor + 0x8000) >> 16, total)
-            acc = np.where(has[..., None], _rescale(acc, factor[..., None]), acc)
-        part = np.where(group == g, weight, 0)
-        total = total + part.sum(axis=-1)
-        acc += (part.astype(np.float64) @ v[:, None]).astype(np.int64)
-    return total, acc
-
-
-def _fold_rows(total, weight, scale, fresh, group, v, sink):
-    """The same chunk by chunk, with rows in order of how many groups they have, so that each group takes a slice."""
-    chunks, keys = len(v), v.shape[1]
-    shape, first = total.shape, 0 if sink else 1
-    total = total.reshape(chunks, -1).copy()
-    acc = np.zeros((chunks, total.shape[1], HEAD_DIM), np.int64)
-    weight, scale, fresh, group = (x.reshape(chunks, -1, keys) for x in (weight, scale, fresh, group))
-    for c in range(chunks):
-        most = group[c, :, -1]
-        order = np.argsort(-most, kind="stable")
-        g_of, w_of, live = group[c][order], weight[c][order].astype(np.float64), most[order]
-        factors = np.zeros((len(order), int(live[0]) + 1), np.int64)
-        row, key = np.nonzero(fresh[c][order])
-        factors[row, g_of[row, key]] = scale[c][order][row, key]
-        s, a = total[c][order], acc[c]
-        for g in range(first, int(live[0]) + 1):
-            n = int(np.searchsorted(-live, -g, "right"))
-            if g > first:
-                f = factors[:n, g]
-                s[:n] = (s[:n] * f + 0x8000) >> 16
-                a[:n] = _rescale(a[:n], f[:, None])
-            part = np.where(g_of[:n] == g, w_of[:n], 0)
-            s[:n] += part.sum(axis=1).astype(np.int64)
-            a[:n] += (part @ v[c]).astype(np.int64)
-        back = np.empty_like(order)
-        back[order] = np.arange(len(order))
-        total[c], acc[c] = s[back], a[back]
-    return total.reshape(shape), acc.reshape(*shape, HEAD_DIM)
+    return np.floor((product + np.where(product >= 0, 32768.0, -32768.0)) * 2.0**-16)
+
+
+def _fold(total: np.ndarray, weight: np.ndarray, scale: np.ndarray, fresh: np.ndarray, group: np.ndarray, v: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of weights (chunk, row) and of weighted values (chunk, row, 64), group by group from ``first`` on.
+
+    Rows stand in order of how many groups they have, so that each group takes a slice of all chunks.
+    """
+    most = group[..., -1]
+    order = np.argsort(-most, axis=1, kind="stable")
+    live = np.take_along_axis(most, order, 1)
+    weight, group = (np.take_along_axis(x, order[..., None], 1) for x in (weight, group))
+    total = np.take_along_axis(total, order, 1)
+    acc = np.zeros((*total.shape, HEAD_DIM))
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(order.shape[1])[None], 1)
+    factors = np.zeros((*total.shape, int(live.max(initial=0)) + 1))
+    c, row, key = np.nonzero(fresh)
+    sorted_row = place[c, row]
+    factors[c, sorted_row, group[c, sorted_row, key]] = scale[c, row, key]
+    for g in range(first, factors.shape[2]):
+        n = int((live >= g).sum(axis=1).max(initial=0))
+        if g > first:
+            f = factors[:, :n, g]
+            has = f > 0
+            total[:, :n] = np.where(has, np.floor((total[:, :n] * f + 32768) * 2.0**-16), total[:, :n])
+            acc[:, :n] = np.where(has[..., None], _rescale(acc[:, :n], f[..., None]), acc[:, :n])
+        part = np.where(group[:, :n] == g, weight[:, :n], 0.0)
+        total[:, :n] += part.sum(axis=-1)
+        acc[:, :n] += part @ v
+    return np.take_along_axis(total, place, 1), np.take_along_axis(acc, place[..., None], 1)
 
 
 def attend(q: np.ndarray, k: np.ndarray, v: np.ndarray, mult: np.ndarray, first: int, sink: np.ndarray | None) -> np.ndarray:
@@ -144,30 +124,32 @@ def attend(q: np.ndarray, k: np.ndarray, v: np.ndarray, mult: np.ndarray, first:
     """
     chunks, heads, queries, _ = q.shape
     keys = k.shape[1]
-    m = mult[None, :, None, None]
-    dots = np.einsum("chqd,ckd->chqk", q.astype(np.float32), k.astype(np.float32), optimize=True).astype(np.int64)
+    rows = heads * queries
+    m = np.repeat(np.asarray(mult, np.float64), queries)[:, None]
+    flat = q.reshape(chunks, rows, HEAD_DIM).astype(np.float32)
+    dots = (flat @ k.astype(np.float32).transpose(0, 2, 1)).astype(np.float64)
     score = clamp32(rne(rne(dots, 2) * m, 15))
-    seen = np.arange(keys)[None, :] <= first + np.arange(queries)[:, None]
-    lowest = -(1 << 40)
+    seen = np.tile(np.arange(keys)[None, :] <= first + np.arange(queries)[:, None], (heads, 1))
+    lowest = -float(1 << 40)
     score = np.where(seen, score, lowest)
     if sink is None:
-        start = np.full((chunks, heads, queries, 1), lowest)
-        total = np.zeros((chunks, heads, queries), np.int64)
+        start = np.full((chunks, rows, 1), lowest)
+        total = np.zeros((chunks, rows))
     else:
-        own = np.einsum("chqd,d->chq", q, sink)
-        start = clamp32(rne(rne(own, 2) * mult[None, :, None], 15))[..., None]
-        total = np.full((chunks, heads, queries), 65535, np.int64)
+        own = (flat @ np.asarray(sink, np.float32)).astype(np.float64)
+        start = clamp32(rne(rne(own, 2) * m[:, 0], 15))[..., None]
+        total = np.full((chunks, rows), 65535.0)
     running = np.maximum.accumulate(np.concatenate([start, score], axis=-1), axis=-1)
     before, now = running[..., :-1], running[..., 1:]
     fresh = now > before
-    group = np.cumsum(fresh, axis=-1)
-    weight = np.where(seen, exp_q16_values(score - now, ATTENTION_COEF), 0)
+    group = np.cumsum(fresh, axis=-1, dtype=np.int32)
+    weight = np.where(seen, exp_by_float(now - score, ATTENTION_COEF), 0.0)
     # the factor that each new maximum puts on what is summed so far
-    scale = exp_q16_values(np.where(fresh, before - now, 0), ATTENTION_COEF)
-    fold = _fold_rows if heads * queries >= FEW_ROWS else _fold_batch
-    total, acc = fold(total, weight, scale, fresh, group, v.astype(np.float64), sink is not None)
-    denominator = np.maximum(total, 1)[..., None]
-    return clamp8(np.sign(acc) * divide_unsigned(np.abs(acc), np.broadcast_to(denominator, acc.shape)))
+    scale = np.zeros(fresh.shape)
+    scale[fresh] = exp_by_float(now[fresh] - before[fresh], ATTENTION_COEF)
+    total, acc = _fold(total, weight, scale, fresh, group, v.astype(np.float64), 0 if sink is not None else 1)
+    out = clamp8(np.rint(acc / np.maximum(total, 1.0)[..., None]))
+    return out.reshape(chunks, heads, queries, HEAD_DIM)
 
 
 @dataclass
@@ -191,7 +173,10 @@ class Layer:
         """x through the matrix of a name, requantised; the floating form of the matrix is made once."""
         if name not in self.extra:
             self.extra[name] = float_matrix(getattr(self, name))
-        return requantize(product(x, self.extra[name]).astype(np.int64), *self.scales[name])
+        mult, shift = self.scales[name]
+        sums = product(x, self.extra[name])
+        small = len(self.extra[name]) * 127 * 127 * abs(mult) < EXACT
+        return requantize(sums.astype(np.float64 if small else np.int64), mult, shift).astype(np.float64)
 
 
 @dataclass
@@ -227,8 +212,8 @@ class Runner:
 
     def __init__(self, w: Weights, chunks: int, length: int) -> None:
         self.w = w
-        self.keys = [np.zeros((chunks, length, HEAD_DIM), np.int64) for _ in w.layers]
-        self.values = [np.zeros((chunks, length, HEAD_DIM), np.int64) for _ in w.layers]
+        self.keys = [np.zeros((chunks, length, HEAD_DIM)) for _ in w.layers]
+        self.values = [np.zeros((chunks, length, HEAD_DIM)) for _ in w.layers]
 
     def forward(self, tokens: np.ndarray, first: int = 0) -> np.ndarray:
         """Logits (chunk, position, vocabulary), whole numbers of a floating type, for tokens (chunk, position) at positions from ``first`` on."""
@@ -236,7 +221,7 @@ class Runner:
         chunks, n = tokens.shape
         d, heads = w.width, w.width // HEAD_DIM
         cos, sin = w.cos[first : first + n], w.sin[first : first + n]
-        x = w.embed[tokens].astype(np.int64)
+        x = w.embed[tokens].astype(np.float64)
         for i, layer in enumerate(w.layers):
             qkv = layer.times(rms_norm(clamp8(x), layer.attn_norm), "qkv")
             q = qkv[..., :d].reshape(chunks, n, heads, HEAD_DIM).transpose(0, 2, 1, 3)
