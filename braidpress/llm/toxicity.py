@@ -1,6 +1,6 @@
 """Toxicity by weak supervision.
 
-Many voters look at a text: a fixed lexicon, stems that labelled rows show to be telling (parted into several
+Many voters look at a text: a fixed lexicon, stems and whole words that labelled rows show to be telling (parted into several
 voters), the density of such stems, and patterns. A generative label model, fitted by expectation
 maximisation on a bounded sample of labelled rows, estimates each voter's accuracy and how voters hang
 together within a class; correlated voters share their weight. Its posterior labels train a logistic
@@ -30,22 +30,25 @@ from pyspark.sql import functions as F
 
 from ..plans.session import discard, materialize, ship_package, tidy
 from .bpe import byte_slices
-from .kernels import LOWER, U, flat, mix, word_spans
+from .kernels import LOWER, U, flat, mix, word_hashes, word_spans
 from .quality import remainder
 
 #: Bound of the labelled sample, of the stems kept, and the number of voters the stems are dealt to.
-TRAIN_ROWS, STEMS, STEM_VOTERS = 20_000, 512, 8
+TRAIN_ROWS, STEMS, STEM_VOTERS = 20_000, 4096, 8
 #: A stem is kept when it stands in this many toxic documents, and its smoothed odds are this many times those in others.
-STEM_DOCS, STEM_ODDS = 4, 20.0
-PREFIXES = (4, 5, 6)
+STEM_DOCS, STEM_ODDS = 4, 40.0
+#: Bytes of the stems; 0 stands for whole words, for languages whose telling words share their first bytes with plain ones.
+PREFIXES, WHOLE = (4, 5, 6), 0
 #: Plain insults.
 LEXICON = ("idiot", "moron", "stupid", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "clown", "dumb", "imbecile", "bastard", "filthy")
 ROUNDS = 50
 
 
 def stem_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Code of the first n bytes of each word that has as many, and which words those are."""
-    which = np.flatnonzero(ends - starts >= n)
+    """Code of the first n bytes of each word that has as many, and which words those are; WHOLE: of words of four bytes and more."""
+    which = np.flatnonzero(ends - starts >= (n or PREFIXES[0]))
+    if n == WHOLE:
+        return ((word_hashes(data, starts[which], ends[which], seed=8) >> U(2)) | U(1 << 62)).view(np.int64), which
     at = starts[which]
     code = np.full(len(at), n, np.int64)
     for k in range(n):
@@ -83,7 +86,7 @@ class Lexicon:
         gate = np.zeros(1 << 16, bool)
         gate[(mix(self.codes.astype(U)) >> U(48)).astype(np.int64)] = True
         hit = np.zeros(len(starts), bool)
-        for n in PREFIXES:
+        for n in (*PREFIXES, WHOLE):
             code, which = stem_codes(data, starts, ends, n)
             maybe = np.flatnonzero(gate[(mix(code.astype(U)) >> U(48)).astype(np.int64)])
             place = np.minimum(np.searchsorted(self.codes, code[maybe]), max(len(self.codes) - 1, 0))
@@ -156,7 +159,7 @@ def mine(sample: DataFrame) -> Lexicon:
         for b in batches:
             data, starts, ends, by = words_of(b.column(0))
             labels = np.asarray(b.column(1))
-            for n in PREFIXES:
+            for n in (*PREFIXES, WHOLE):
                 code, which = stem_codes(data, starts, ends, n)
                 row = np.searchsorted(by, which, "right") - 1
                 order = np.lexsort((code, row))
