@@ -43,7 +43,7 @@ from .kernels import BASE, SEPARATORS, U, flat, mix, powers
 LENGTH = 400
 KMER = 32
 #: Window for passages of more than fifty words: they may be shorter than LENGTH, while fifty words of prose are not below this.
-PASSAGE, PASSAGE_WORDS = 208, 50
+PASSAGE, PASSAGE_WORDS = 232, 50
 CHUNK = 1 << 18
 #: A difference cover modulo 57: each residue is the difference of two members (fixed value).
 COVER = 57
@@ -331,15 +331,16 @@ def decisions(df: DataFrame, key: str = "doc_id", text: str = "text", window: in
     segs = materialize(rows.mapInArrow(tidy(found), "rid long, at int, n int, lead int, bucket long, content long"), "segments")
     windows = segs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     groups = 1 << max(4, int(windows // GROUP_BYTES).bit_length())
-    held = materialize(segs.groupBy(F.pmod("rid", F.lit(groups)).alias("group"), "bucket", "content").agg(F.count("*").alias("uses"), F.min(F.struct("rid", "at", "n", "lead")).alias("rep")), "held")
+    # any place that holds a segment stands for it; all firsts are of one row, and such sums are kept by hash
+    one = [F.first(c).alias(c) for c in ("rid", "at", "n", "lead")]
+    held = materialize(segs.groupBy(F.pmod("rid", F.lit(groups)).alias("group"), "bucket", "content").agg(F.count("*").alias("uses"), *one), "held")
     discard(segs)
     # tables on both sides of each join on a bucket, so that a hot one can be split where it is joined
     shared = materialize(held.groupBy("bucket").agg(F.sum("uses").alias("uses")).where("uses > 1").select("bucket"), "names")
     hot = materialize(held.join(shared, "bucket"), "shared")
     discard(held)
     discard(shared)
-    kinds = hot.groupBy("bucket", "content").agg(F.sum("uses").alias("uses"), F.min("rep").alias("rep"))
-    kinds = materialize(kinds.select("bucket", "content", "uses", "rep.*"), "kinds")
+    kinds = materialize(hot.groupBy("bucket", "content").agg(F.sum("uses").alias("uses"), *one), "kinds")
     several = materialize(kinds.groupBy("bucket").agg(F.count("*").alias("kinds")).where("kinds > 1"), "several")
     # only buckets of different segments need sorting
     items = materialize(kinds.join(several, "bucket").withColumn("off", F.lit(0)), "items")
@@ -576,8 +577,11 @@ def _cuts(bodies: pa.Array, known: dict, window: int) -> list[list[tuple[int, in
     out: list[list[tuple[int, int]]] = [[] for _ in range(len(bodies))]
     if known:
         data, offs = flat(bodies)
+        named = np.unique(np.fromiter((c for _, c in known), np.int64, len(known)))
         for row, at, _, bucket, content, _ in scan(data, offs, window):
-            for r, p, b, c in zip(row.tolist(), at.tolist(), bucket.view(np.int64).tolist(), content.view(np.int64).tolist()):
+            content = content.view(np.int64)
+            hit = np.flatnonzero(named[np.minimum(np.searchsorted(named, content), len(named) - 1)] == content)
+            for r, p, b, c in zip(row[hit].tolist(), at[hit].tolist(), bucket.view(np.int64)[hit].tolist(), content[hit].tolist()):
                 for x, y in known.get((b, c), ()):
                     out[r].append((p + x, p + y - 1 + window))
         for cuts in out:
