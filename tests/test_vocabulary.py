@@ -1,8 +1,14 @@
 import base64
+import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from braidpress.operators import buffers
 from braidpress.operators import vocabulary as V
+from braidpress.operators.attention import embedding_gather
 from braidpress.sources import model
 
 
@@ -67,3 +73,43 @@ def test_frames(spark):
     assert [r.token for r in V.unknown_tokens(spark.createDataFrame([([1, 5000],)], "tokens array<int>"), v).collect()] == [5000]
     with pytest.raises(Exception, match="unknown token"):
         V.detokenize(spark.createDataFrame([(1, [5000])], "id int, tokens array<int>"), v, ["id"]).collect()
+
+
+def test_long_pieces_merge_like_short_ones(monkeypatch):
+    r = random.Random(5)
+    v = model.small_vocabulary()
+    pieces = ["".join(r.choice("abent hirs") for _ in range(r.randint(1, 300))).encode() for _ in range(200)] + [b"a" * 257, b"ab" * 400, b"e", b""]
+    want = []
+    monkeypatch.setattr(V, "HEAP_BYTES", 10**9)
+    want = [v.merge(p) for p in pieces]
+    monkeypatch.setattr(V, "HEAP_BYTES", 0)
+    assert [v.merge(p) for p in pieces] == want
+    monkeypatch.undo()
+    long = ("the" * 400_000).encode()
+    assert b"".join(v.merge(long)) == long
+
+
+def test_buffers_with_nulls_and_slices(spark):
+    column = pa.array(["ab", None, "", "é\n", "x" * 300])
+    for c in (column, column[1:], column.cast(pa.large_string()), column.slice(1, 3), column.slice(0, 0)):
+        data, offs = buffers.flat_bytes(c)
+        assert [bytes(data[a:b]).decode() for a, b in zip(offs, offs[1:])] == [t or "" for t in c.to_pylist()]
+    lists = pa.array([[1, 2], None, [], [3]], pa.list_(pa.int32()))
+    values, offs = buffers.flat_lists(lists[1:])
+    assert values.tolist() == [3] and offs.tolist() == [0, 0, 0, 1]
+    assert buffers.lists_of(np.array([1, 2, 3]), np.array([0, 2, 2, 2, 3]), pa.int32(), lists).to_pylist() == lists.to_pylist()
+    assert [(s.start, s.stop) for s in buffers.by_bytes(np.array([5, 1, 1, 90, 1]), 7)] == [(0, 3), (3, 4), (4, 5)]
+    df = spark.createDataFrame([("a", "xy"), (None, "x"), ("a", None), ("b", "")], "lang string, text string")
+    assert sorted(map(tuple, V.byte_counts(df, "text", "lang").collect()), key=str) == [("a", 120, 1), ("a", 121, 1), (None, 120, 1)]
+    assert sorted(map(tuple, V.byte_counts(df).collect())) == [(120, 2), (121, 1)]
+    assert [r.t for r in df.select(V.byte_tokens(F.col("text")).alias("t")).collect()] == [[120, 121], [120], None, []]
+
+
+def test_gathered_embeddings(spark):
+    df = spark.createDataFrame([(1, [0, 2]), (2, []), (3, None)], "id int, t array<int>")
+    flat = {r.id: r.v for r in df.select("id", embedding_gather(F.col("t"), np.array([5, 6, 7])).alias("v")).collect()}
+    assert flat == {1: [5, 7], 2: [], 3: None}
+    wide = {r.id: r.v for r in df.select("id", embedding_gather(F.col("t"), np.array([[5, 1], [6, 2], [7, 3]])).alias("v")).collect()}
+    assert wide == {1: [[5, 1], [7, 3]], 2: [], 3: None}
+    with pytest.raises(ValueError):
+        embedding_gather(F.col("t"), np.zeros((1 << 24, 1)))
