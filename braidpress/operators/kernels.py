@@ -48,11 +48,6 @@ def float_matrix(w: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(w.T, np.float32 if w.shape[1] <= EXACT_TERMS else np.float64)
 
 
-def gemm(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """x @ w.T of 8-bit values, exactly, as int64."""
-    return product(x, float_matrix(w)).astype(np.int64)
-
-
 def requantize(x: np.ndarray, mult: int, shift: int) -> np.ndarray:
     return clamp8(x * mult if shift <= 0 else clamp32(rne(x * mult, shift)))
 

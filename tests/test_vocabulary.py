@@ -4,9 +4,10 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from braidpress.operators import buffers
+from braidpress.operators import buffers, chunking
 from braidpress.operators import vocabulary as V
 from braidpress.operators.attention import embedding_gather
 from braidpress.sources import model
@@ -113,3 +114,11 @@ def test_gathered_embeddings(spark):
     assert wide == {1: [[5, 1], [7, 3]], 2: [], 3: None}
     with pytest.raises(ValueError):
         embedding_gather(F.col("t"), np.zeros((1 << 24, 1)))
+
+
+def test_previous_tokens_equal_a_window(spark):
+    df = spark.createDataFrame([(k, list(range(k, k + n))) for k, n in enumerate((0, 1, 63, 64, 65, 200))], "id int, tokens array<int>")
+    own = chunking.previous_tokens(chunking.chunk(df, size=64)).select("id", "chunk_idx", F.posexplode("prev").alias("at", "prev"))
+    place = chunking.positions(df).withColumn("chunk_idx", F.expr("pos div 64").cast("int")).withColumn("at", (F.col("pos") % 64).cast("int"))
+    lagged = place.withColumn("prev", F.lag("token", 1, chunking.BOS).over(Window.partitionBy("id", "chunk_idx").orderBy("at")))
+    assert sorted(own.collect()) == sorted(lagged.select("id", "chunk_idx", "at", "prev").collect()) and own.count() == 393
