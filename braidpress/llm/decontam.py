@@ -40,6 +40,7 @@ MASKS = (
     ("1101100101011", 13, None),
     ("1110010110111", 13, None),
     ("111010011011", 12, None),
+    ("11101011001011", 14, None),
     ("1101011", 7, SHORT_ITEM - 1),
     ("1110101", 7, SHORT_ITEM - 1),
     ("111111", 6, 6),
