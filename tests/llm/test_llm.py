@@ -285,7 +285,7 @@ def long_runs(t, mask, words=50):
     return [(a, z) for a, z in runs if sum(x < z and y > a for x, y in spans) >= words]
 
 
-@pytest.mark.parametrize("seed, crowd", [(1, 4096), (2, 4096), (3, 2), (4, 1)])
+@pytest.mark.parametrize("seed, crowd", [(2, 4096), (3, 2)])
 def test_repeats_and_passages_equal_brute_force(spark, monkeypatch, seed, crowd):
     monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
     r = random.Random(seed)
