@@ -44,7 +44,8 @@ LENGTH = 400
 KMER = 32
 #: Window for passages of more than fifty words: they may be shorter than LENGTH, while fifty words of prose are not below this.
 PASSAGE, PASSAGE_WORDS = 232, 50
-CHUNK = 1 << 18
+#: Bytes scanned at once: their arrays fit the caches.
+CHUNK = 1 << 16
 #: A difference cover modulo 57: each residue is the difference of two members (fixed value).
 COVER = 57
 MEMBERS = (0, 1, 3, 13, 32, 36, 43, 52)
@@ -475,17 +476,6 @@ def word_starts(body: bytes) -> np.ndarray:
     return np.flatnonzero(solid & ~np.concatenate([[False], solid[:-1]])) if len(solid) else np.zeros(0, np.int64)
 
 
-def merged(cuts: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Maximal runs of sorted byte ranges."""
-    out: list[tuple[int, int]] = []
-    for a, z in cuts:
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], z))
-        else:
-            out.append((a, z))
-    return out
-
-
 def passages(body: bytes, runs: list[tuple[int, int]], min_words: int) -> list[tuple[int, int]]:
     """The runs that touch ``min_words`` words at least."""
     if not runs or min_words < 2:
@@ -541,7 +531,7 @@ def _with_runs(df: DataFrame, key: str, text: str, keep: tuple, window: int, use
     copied = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, known = None, {}
+        group, parts, known = None, [], None
         for whole in batches:
             for s in byte_slices(np.asarray(pc.fill_null(pc.binary_length(whole.column(whole.schema.get_field_index("body"))), 0))):
                 b = whole.slice(s.start, s.stop - s.start)
@@ -552,41 +542,70 @@ def _with_runs(df: DataFrame, key: str, text: str, keep: tuple, window: int, use
                     if x == y:
                         continue
                     if tags[x] >> 1 != group:
-                        group, known = tags[x] >> 1, {}
+                        group, parts, known = tags[x] >> 1, [], None
                     if not tags[x] & 1:
-                        known.update(_known(*(col[c][x:y].to_pylist() for c in ("bucket", "content", "ranges")), known))
+                        parts.append((np.asarray(col["content"][x:y]), col["ranges"][x:y]))
                         continue
+                    if known is None:
+                        known, parts = Known(parts), []
                     bodies = col["body"][x:y]
-                    columns = use(bodies, [merged(c) for c in _cuts(bodies, known, window)])
+                    columns = use(bodies, known.runs(bodies, window))
                     yield pa.RecordBatch.from_arrays([*[col[c][x:y] for c in copied], *columns], [*copied, *[f.name for f in made]])
 
     return both.mapInArrow(tidy(run), T.StructType(fields + made))
 
 
-def _known(buckets: list, contents: list, ranges: list, known: dict) -> dict:
-    """Ranges by segment; a segment that was decided in several parts has them all."""
-    out: dict = {}
-    for b, c, r in zip(buckets, contents, ranges):
-        out[b, c] = out.get((b, c)) or list(known.get((b, c), ()))
-        out[b, c] += [(x["a"], x["b"]) for x in r]
-    return out
+class Known:
+    """What is decided for the segments of a group: ranges of windows by content, in flat arrays.
 
+    A segment's content names its bucket too, since both follow from the same bytes. One that was decided in
+    several parts stands here several times.
+    """
 
-def _cuts(bodies: pa.Array, known: dict, window: int) -> list[list[tuple[int, int]]]:
-    """For each text, sorted byte ranges that its repeated windows cover."""
-    out: list[list[tuple[int, int]]] = [[] for _ in range(len(bodies))]
-    if known:
+    def __init__(self, parts: list[tuple[np.ndarray, pa.Array]]) -> None:
+        content = np.concatenate([np.zeros(0, np.int64), *[c for c, _ in parts]])
+        sizes = np.concatenate([np.zeros(0, np.int64), *[np.asarray(r.value_lengths(), np.int64) for _, r in parts]])
+        fields = [r.flatten().flatten() for _, r in parts]
+        self.a, self.b = (np.concatenate([np.zeros(0, np.int64), *[np.asarray(f[k]) for f in fields]]) for k in (0, 1))
+        order = np.argsort(content, kind="stable")
+        self.content, self.sizes, self.first = content[order], sizes[order], (np.cumsum(sizes) - sizes)[order]
+
+    def runs(self, bodies: pa.Array, window: int) -> list[list[tuple[int, int]]]:
+        """For each text the maximal byte runs that its repeated windows cover, in order."""
+        out: list[list[tuple[int, int]]] = [[] for _ in range(len(bodies))]
+        if not len(self.content):
+            return out
         data, offs = flat(bodies)
-        named = np.unique(np.fromiter((c for _, c in known), np.int64, len(known)))
-        for row, at, _, bucket, content, _ in scan(data, offs, window):
+        found = []
+        for row, at, _, _, content, _ in scan(data, offs, window):
             content = content.view(np.int64)
-            hit = np.flatnonzero(named[np.minimum(np.searchsorted(named, content), len(named) - 1)] == content)
-            for r, p, b, c in zip(row[hit].tolist(), at[hit].tolist(), bucket.view(np.int64)[hit].tolist(), content[hit].tolist()):
-                for x, y in known.get((b, c), ()):
-                    out[r].append((p + x, p + y - 1 + window))
-        for cuts in out:
-            cuts.sort()
-    return out
+            low, high = (np.searchsorted(self.content, content, side) for side in ("left", "right"))
+            hit = np.flatnonzero(high > low)
+            if len(hit):
+                n = (high - low)[hit]
+                entry, of = spread_out(low[hit], n), np.repeat(hit, n)
+                m = self.sizes[entry]
+                each, of = spread_out(self.first[entry], m), np.repeat(of, m)
+                found.append((row[of], at[of] + self.a[each], at[of] + self.b[each] - 1 + window))
+        if not found:
+            return out
+        row, start, end = (np.concatenate(x) for x in zip(*found))
+        # texts on one line: a run ends where the next start lies beyond all ends so far
+        shift = row * (int(end.max()) + 2)
+        order = np.argsort(shift + start, kind="stable")
+        row, start, reach = row[order], start[order], np.maximum.accumulate((shift + end)[order])
+        new = np.ones(len(row), bool)
+        new[1:] = (shift[order] + start)[1:] > reach[:-1]
+        head = np.flatnonzero(new)
+        last = np.append(head[1:], len(row)) - 1
+        for r, a, z in zip(row[head].tolist(), start[head].tolist(), (reach - shift[order])[last].tolist()):
+            out[r].append((a, z))
+        return out
+
+
+def spread_out(at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places at, at + 1, ... at + size - 1 of each entry, one after the other."""
+    return np.repeat(at - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
 def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: str | None = None, window: int = LENGTH, min_words: int = 0) -> DataFrame:
