@@ -42,7 +42,8 @@ def tidy(run):
     """A worker's Arrow function that gives memory back when its partition ends.
 
     Workers serve many stages. Without this, freed arrays stay with the allocators: glibc raises its threshold
-    for separate mappings with each large block, and Arrow's pool keeps what it had at most.
+    for separate mappings with each large block, and Arrow's pool keeps what it had at most. The thresholds are
+    fixed above the usual size of an array, or each one would be mapped, and its pages zeroed, anew.
     """
 
     def wrapped(batches):
@@ -50,7 +51,8 @@ def tidy(run):
 
         try:
             libc = ctypes.CDLL("libc.so.6")
-            libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, fixed at 1 MB
+            libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+            libc.mallopt(-1, 16 << 20)  # M_TRIM_THRESHOLD: what may stay free at the top while the partition runs
         except (OSError, AttributeError):
             libc = None
         yield from run(batches)
