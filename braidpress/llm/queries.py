@@ -130,26 +130,30 @@ SELECT p.page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM p
 """
 
 def op3_sql() -> str:
-    """Windows as 64-bit hashes; a byte goes where a repeated window starts less than a window before it."""
-    long, short, reach = suffix_dedup.LENGTH, suffix_dedup.PASSAGE, 512
+    """Windows as 64-bit hashes; starts of repeated windows that touch or overlap make a run."""
+    long, short, reach = suffix_dedup.LENGTH, suffix_dedup.PASSAGE, 128
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
 c AS (SELECT r, n, c, substr(h, CAST(2 * c + 1 AS INTEGER), {2 * (reach + long - 1)}) AS s FROM (SELECT r, n, h, unnest(range(0, n, {reach})) AS c FROM d) x),
 p AS (
-  SELECT r, c + j AS i, substr(s, CAST(2 * j + 1 AS INTEGER), 2) AS b, CASE WHEN c + j + {long} <= n THEN hash(substr(s, CAST(2 * j + 1 AS INTEGER), {2 * long})) END AS w, CASE WHEN c + j + {short} <= n THEN hash(substr(s, CAST(2 * j + 1 AS INTEGER), {2 * short})) END AS v
+  SELECT r, c + j AS i, CASE WHEN c + j + {long} <= n THEN hash(substr(s, CAST(2 * j + 1 AS INTEGER), {2 * long})) END AS w, CASE WHEN c + j + {short} <= n THEN hash(substr(s, CAST(2 * j + 1 AS INTEGER), {2 * short})) END AS v
   FROM (SELECT *, unnest(range(least({reach}, n - c))) AS j FROM c) x),
-tw AS (SELECT w FROM p WHERE w IS NOT NULL GROUP BY w HAVING count(*) > 1),
-tv AS (SELECT v FROM p WHERE v IS NOT NULL GROUP BY v HAVING count(*) > 1),
-k AS (SELECT r, i, b, CASE WHEN tw.w IS NOT NULL THEN i END AS w, CASE WHEN tv.v IS NOT NULL THEN i END AS v, b NOT IN ('20', '09', '0A', '0B', '0C', '0D') AS solid FROM p LEFT JOIN tw ON p.w = tw.w LEFT JOIN tv ON p.v = tv.v),
-g AS (
-  SELECT r, i, b, solid, coalesce(i - max(w) OVER o < {long}, FALSE) AS gone, coalesce(i - max(v) OVER o < {short}, FALSE) AS twice, solid AND NOT coalesce(lag(solid) OVER o, FALSE) AS starts
-  FROM k WINDOW o AS (PARTITION BY r ORDER BY i)),
-e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER o, FALSE) AS opens, twice AND NOT coalesce(lag(twice) OVER o, FALSE) AS begins FROM g WINDOW o AS (PARTITION BY r ORDER BY i)),
-f AS (SELECT *, sum(CASE WHEN begins THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS run FROM e),
-runs AS (SELECT r, run, count(*) AS size FROM f WHERE twice GROUP BY r, run HAVING count(*) FILTER (WHERE starts OR (begins AND solid)) >= {suffix_dedup.PASSAGE_WORDS}),
-x AS (SELECT r, count(*) AS n_passages, CAST(sum(size) AS BIGINT) AS passage_bytes FROM runs GROUP BY r),
-y AS (SELECT r, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans, sha256(unhex(coalesce(string_agg(b, '' ORDER BY i) FILTER (WHERE NOT gone), ''))) AS kept_sha256 FROM f GROUP BY r)
-SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, coalesce(kept_sha256, sha256('')) AS kept_sha256, coalesce(n_passages, 0) AS n_passages, coalesce(passage_bytes, 0) AS passage_bytes
+a AS (
+  SELECT r, i, {long} AS k FROM p JOIN (SELECT w FROM p WHERE w IS NOT NULL GROUP BY w HAVING count(*) > 1) USING (w)
+  UNION ALL SELECT r, i, {short} FROM p JOIN (SELECT v FROM p WHERE v IS NOT NULL GROUP BY v HAVING count(*) > 1) USING (v)),
+g AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY r, k ORDER BY i) <= k THEN 0 ELSE 1 END AS opens FROM a),
+o AS (SELECT *, sum(opens) OVER (PARTITION BY r, k ORDER BY i) AS run FROM g),
+runs AS (SELECT r, k, min(i) AS a, max(i) + k AS z FROM o GROUP BY r, k, run),
+s AS (SELECT *, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM runs WHERE k = {long}),
+y AS (
+  SELECT s.r, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans,
+         string_agg(substr(h, CAST(2 * before + 1 AS INTEGER), CAST(2 * (a - before) AS INTEGER)), '' ORDER BY a) || substr(any_value(h), CAST(2 * max(z) + 1 AS INTEGER)) AS rest
+  FROM s JOIN d ON d.r = s.r GROUP BY s.r),
+m AS (
+  SELECT runs.r, z - a AS size, array_to_string(list_transform(regexp_extract_all(substr(h, CAST(2 * a + 1 AS INTEGER), CAST(2 * (z - a) AS INTEGER)), '..'), lambda b: CASE WHEN b IN ('20', '09', '0A', '0B', '0C', '0D') THEN ' ' ELSE 'x' END), '') AS shape
+  FROM runs JOIN d ON d.r = runs.r WHERE k = {short}),
+x AS (SELECT r, count(*) AS n_passages, CAST(sum(size) AS BIGINT) AS passage_bytes FROM m WHERE len(list_filter(string_split(shape, ' '), lambda t: t <> '')) >= {suffix_dedup.PASSAGE_WORDS} GROUP BY r)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256, coalesce(n_passages, 0) AS n_passages, coalesce(passage_bytes, 0) AS passage_bytes
 FROM d LEFT JOIN y ON d.r = y.r LEFT JOIN x ON d.r = x.r
 """
 
