@@ -481,10 +481,13 @@ def passages(body: bytes, runs: list[tuple[int, int]], min_words: int) -> list[t
     if not runs or min_words < 2:
         return runs
     at = word_starts(body)
-    # a word that a run enters in its middle started before the run
-    low = np.searchsorted(at, [a for a, _ in runs], "right") - 1
+    first = np.array([a for a, _ in runs])
+    low = np.searchsorted(at, first, "left")
     high = np.searchsorted(at, [z for _, z in runs], "left")
-    return [r for r, n in zip(runs, np.minimum(high - low, high)) if n >= min_words]
+    # a word that a run enters in its middle started before the run; one that ended before it is not touched
+    solid = ~SEPARATORS[np.frombuffer(body, np.uint8)]
+    inside = (first > 0) & solid[first] & solid[first - 1]
+    return [r for r, n in zip(runs, high - low + inside) if n >= min_words]
 
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = LENGTH, min_words: int = 0) -> DataFrame:

@@ -303,6 +303,14 @@ def test_repeats_and_passages_equal_brute_force(spark, monkeypatch, seed, crowd)
     assert sum(n for k, n in want.items() if k[5]) >= 3
 
 
+def test_words_that_end_before_a_run_are_not_touched():
+    body = b"\n one two  three four\t"
+    runs = [(a, z) for a in range(len(body)) for z in range(a + 1, len(body) + 1)]
+    mask = lambda a, z: np.isin(np.arange(len(body)), range(a, z))
+    for words in (2, 3, 4, 5):
+        assert suffix_dedup.passages(body, runs, words) == [(a, z) for a, z in runs if long_runs(body, mask(a, z), words)]
+
+
 def test_passages_leave_shorter_repeats(spark):
     r = random.Random(6)
     passage, other = prose(r, 52), prose(r, 47)
