@@ -7,6 +7,7 @@ are independent, so they, not documents, are the unit of work: a long document s
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..operators import container as box
 from ..operators.chunking import BOS, chunk, level_context, reassemble, to_log2
-from ..operators.coder import Decoders, batches_of, decode_symbols, encode_spans, encode_symbols
+from ..operators.coder import Decoders, Lanes, batches_of, encode_spans
 from ..operators.kernels import Runner, Weights
 from ..operators.vocabulary import Vocabulary, byte_counts, tokenize, token_bytes
 from ..sources.model import vocabulary_of
@@ -177,14 +178,15 @@ def static_roundtrip(df: DataFrame, key: str = "doc_id", text: str = "text", siz
     kind = dict(df.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lanes = Lanes(table)
         for b in batches:
-            coded, back = [], []
-            for t in b.column(1).to_pylist():
-                raw = t.encode()
-                parts = [raw[i : i + size] for i in range(0, len(raw), size)]
-                codes = [encode_symbols(table, p) for p in parts]
-                coded.append(sum(map(len, codes)))
-                back.append(b"".join(bytes(decode_symbols(table, c, len(p))) for c, p in zip(codes, parts)).decode())
+            texts = [t.encode() for t in b.column(1).to_pylist()]
+            counts = [-(-len(raw) // size) for raw in texts]
+            parts = [raw[i : i + size] for raw in texts for i in range(0, len(raw), size)]
+            codes = lanes.encode(parts)
+            pieces, sizes = iter(lanes.decode(codes, [len(p) for p in parts])), iter(map(len, codes))
+            back = [b"".join(islice(pieces, n)).decode() for n in counts]
+            coded = [sum(islice(sizes, n)) for n in counts]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(back, pa.string()), pa.array(coded, pa.int64())], ["key", "text", "coded_bytes"])
 
     rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
