@@ -196,3 +196,17 @@ def test_fold_column_equals_kernel(spark, with_sink):
     own = attention_score(dot(F.col("q"), F.col("sink")), 90000) if with_sink else None
     got = rows.select(fold(F.col("steps"), own).alias("y")).first().y
     assert got == kernels.attend(q[None, None, None], k[None], v[None], np.array([90000]), 8, sink if with_sink else None)[0, 0, 0].tolist()
+
+
+def test_folds_agree_and_few_rows_take_one_product(monkeypatch):
+    """Decoding folds all groups of a position by one product a chunk; the sorted fold gives the same."""
+    r = np.random.default_rng(4)
+    q, k, v = r.integers(-127, 128, (5, 4, 1, 64)), r.integers(-127, 128, (5, 30, 64)), r.integers(-127, 128, (5, 30, 64))
+    mult, sink = np.array([30000, 12000, 200000, 300]), r.integers(-127, 128, 64)
+    with monkeypatch.context() as m:
+        m.setattr(kernels, "_fold", None)
+        got = [kernels.attend(q, k, v, mult, 29, s) for s in (sink, None)]
+    monkeypatch.setattr(kernels, "FEW_ROWS", 0)
+    for a, s in zip(got, (sink, None)):
+        assert np.array_equal(a, kernels.attend(q, k, v, mult, 29, s))
+        assert a[1, 2, 0].tolist() == fold_by_key(q[1, 2, 0], k[1], v[1], 200000, s)
