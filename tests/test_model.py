@@ -210,3 +210,18 @@ def test_folds_agree_and_few_rows_take_one_product(monkeypatch):
     for a, s in zip(got, (sink, None)):
         assert np.array_equal(a, kernels.attend(q, k, v, mult, 29, s))
         assert a[1, 2, 0].tolist() == fold_by_key(q[1, 2, 0], k[1], v[1], 200000, s)
+
+
+def test_spans_equal_tables_by_blocks_of_rows(monkeypatch):
+    from braidpress.operators import distribution
+
+    r, whole, seen = np.random.default_rng(5), distribution.frequencies, []
+    monkeypatch.setattr(distribution, "frequencies", lambda x, *more: seen.append(len(x)) or whole(x, *more))
+    for vocab in (1, 2, 1024):
+        logits, symbols = r.integers(-200000, 200000, (150, vocab)), r.integers(0, vocab, 150)
+        symbols[:3] = 0, vocab - 1, min(1, vocab - 1)
+        below, upto, total = distribution.symbol_spans(logits, symbols)
+        tables = distribution.cumulative_values(logits)
+        rows = np.arange(150)
+        assert np.array_equal(upto, tables[rows, symbols]) and np.array_equal(below, np.where(symbols > 0, tables[rows, symbols - 1], 0)) and (tables[:, -1] == total).all()
+    assert max(seen) <= distribution.ROWS < 150
