@@ -225,3 +225,44 @@ def test_spans_equal_tables_by_blocks_of_rows(monkeypatch):
         rows = np.arange(150)
         assert np.array_equal(upto, tables[rows, symbols]) and np.array_equal(below, np.where(symbols > 0, tables[rows, symbols - 1], 0)) and (tables[:, -1] == total).all()
     assert max(seen) <= distribution.ROWS < 150
+
+
+def test_the_first_layer_comes_from_a_table_of_tokens(monkeypatch):
+    """Whatever goes through a model, each layer's qkv product but the first one's sees it; the first is worked out for each token of the vocabulary once."""
+    w, whole, seen = model.fixture(layers=2), kernels.Layer.times, []
+    monkeypatch.setattr(kernels.Layer, "times", lambda self, x, name: seen.append((w.layers.index(self), name, x.size)) or whole(self, x, name))
+    monkeypatch.setattr(kernels.Layer, "__eq__", lambda self, other: self is other)
+    runner, tokens = kernels.Runner(w, 3, 40), np.random.default_rng(2).integers(0, 1024, (3, 40))
+    for at in (0, 20):
+        runner.forward(tokens[:, at : at + 20], at)
+    assert [(layer, n) for layer, name, n in seen if name == "qkv"] == [(0, 1024 * 256), (1, 60 * 256), (1, 60 * 256)]
+
+
+@pytest.mark.parametrize("scale", [(77, 12), (-77, 12), ((1 << 24) - 1, 16), (3, 1), (1, 16), (0, 5), (1 << 24, 9), (5, 17), (2, 0), (-3, 40)])
+def test_requantised_products_equal_plain_integers(scale):
+    """Also where a product exceeds what float32 holds, and at ties."""
+    r = np.random.default_rng(6)
+    layer = model.fixture().layers[0]
+    layer.out, layer.scales["out"] = r.integers(-128, 128, (9, 256)).astype(np.int8), scale
+    layer.out[0], layer.out[1] = 127, np.eye(1, 256, dtype=np.int8)
+    x = np.concatenate([r.integers(-127, 128, (6, 256)), np.full((1, 256), 127), np.full((1, 256), -127)])
+    assert layer.times(x.astype(np.float32), "out").tolist() == [plain_matrix(row, layer.out, scale) for row in x.tolist()]
+
+
+@pytest.mark.parametrize("with_sink", [False, True])
+def test_folds_in_blocks_equal_fold_by_key(monkeypatch, with_sink):
+    """Rising, falling and equal scores, more queries than a block has, and tables of groups that are too large."""
+    r = np.random.default_rng(8)
+    q = r.integers(-127, 128, (1, 64))
+    rise = np.sort(r.integers(-127, 128, (40, 64)) * np.sign(q), axis=0)
+    k = np.stack([rise, rise[::-1], np.repeat(rise[20:21], 40, 0), r.integers(-127, 128, (40, 64))])
+    v, sink = r.integers(-127, 128, (4, 40, 64)), r.integers(-60, 60, 64) if with_sink else None
+    queries, mult = np.broadcast_to(q, (4, 2, 40, 64)), np.array([9000, 100])
+    got = kernels.attend(queries, k, v, mult, 0, sink)
+    for c in range(4):
+        for h in range(2):
+            for j in (0, 1, 15, 31, 32, 39):
+                assert got[c, h, j].tolist() == fold_by_key(q[0], k[c, : j + 1], v[c, : j + 1], int(mult[h]), sink)
+    for name in ("FOLD_ENTRIES", "FOLD_SCORES"):
+        monkeypatch.setattr(kernels, name, 1)
+        assert np.array_equal(kernels.attend(queries, k, v, mult, 0, sink), got)
