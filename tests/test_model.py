@@ -266,3 +266,23 @@ def test_folds_in_blocks_equal_fold_by_key(monkeypatch, with_sink):
     for name in ("FOLD_ENTRIES", "FOLD_SCORES"):
         monkeypatch.setattr(kernels, name, 1)
         assert np.array_equal(kernels.attend(queries, k, v, mult, 0, sink), got)
+
+
+def test_decoding_looks_only_at_the_block_that_holds_a_value(weights, monkeypatch):
+    """Decoding makes no cumulative tables; a value's symbol and its span are what they would tell."""
+    from braidpress.operators import distribution
+
+    r = np.random.default_rng(9)
+    for vocab in (1, 33, 1024):
+        logits = r.integers(-200000, 200000, (150, vocab)).astype(np.float32)
+        logits[:50] //= 100
+        tables = distribution.cumulative_values(logits)
+        values = r.integers(0, tables[0, -1], 150)
+        values[:4] = 0, tables[0, -1] - 1, tables[2, vocab // 2] - 1, min(tables[3, vocab // 2], tables[0, -1] - 1)
+        s, below, upto = distribution.symbols_at(logits, values)
+        want = [int(np.searchsorted(t, x, "right")) for t, x in zip(tables, values)]
+        rows = np.arange(150)
+        assert s.tolist() == want and np.array_equal(upto, tables[rows, s]) and np.array_equal(below, np.where(s > 0, tables[rows, s - 1], 0))
+    monkeypatch.setattr(kernels.Runner, "tables", None)
+    chunks = [r.integers(0, 1024, n).tolist() for n in (3, 64)]
+    assert compress.decode_chunks(weights, compress.encode_chunks(weights, chunks), [3, 64]) == chunks
